@@ -5,17 +5,53 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tracewell.llm.mixing import mix, word_count
 from tracewell.llm.neardup import near_duplicates
+from tracewell.llm.storage import Scratch
+from tracewell.llm.substrings import dedup_substrings
+from tracewell.llm.tokens import read_documents, write_shards
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the vocabulary file of a public tokenizer is; the same on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents, two-word shingles, similarity of 0.8 or more."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), shingle=2, percent=80)
+    return near_duplicates(_documents(spark, sf_dir, "doc_id", "text"), shingle=2, percent=80)
+
+
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages of 50 words that repeat earlier ones."""
+    cut = dedup_substrings(_documents(spark, sf_dir, "doc_id", "text"), length=50)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to shards and read back."""
+    path = Scratch(spark).root
+    write_shards(_documents(spark, sf_dir, "doc_id", "text"), path, tokenizer_path())
+    return read_documents(spark, path)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source weights 5, 2, 1 at 150 % of their words, two epochs at most."""
+    sized = _documents(spark, sf_dir, "doc_id", "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("words"))
+    out = mix(Scratch(spark).table(sized), size="words")
+    return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash}
+    return {f.__name__: f for f in (op1_minhash, op3_substring, op5_tokens, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
