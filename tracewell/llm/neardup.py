@@ -5,10 +5,11 @@ Steps, none of which brings a whole group into one task:
 1. One pass over the texts gives each document its shingle count, a digest of its set,
    band keys made of full minima, and a signature of the low bits of the minima.
 2. Documents with equal sets are one class; only its smallest id goes on.
-3. A band bucket with several members has a pivot. Members are compared with pivots
-   only (a star for each bucket), in some rounds with other pivots each time.
-4. What still is in different components of one bucket is compared pair by pair.
-   Pairs already known to be connected are never formed.
+3. A band bucket with several members has a pivot that the others are compared with (a
+   star). In some more rounds, those outside a bucket's largest component are compared
+   with other members of it.
+4. Where a bucket still holds several components, pairs across them are formed from
+   shared rare shingles, which loses no link. Pairs known to be connected are not formed.
 
 Before a comparison the packed signatures give a similarity estimate, corrected for
 chance collisions of low bits; only clear misses (``slack`` standard deviations below
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.llm.components import components
@@ -137,7 +139,42 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower: bool = True, rounds: int = 3, seed: int = 20240601) -> DataFrame:
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of a set."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column("shingles")]
+        n = np.array([len(x) for x in sets], dtype=np.int64)
+        row = pa.array(np.repeat(np.arange(len(n)), n))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c).take(row) for c in ("doc_id", "component", "outer")), pa.array(np.repeat(n, n)), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))],
+            names=["doc_id", "component", "outer", "n", "s"],
+        )
+
+
+def _prefix_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (doc_id, pivot) from different components that share a rare shingle, one of them outside a largest component.
+
+    In an order from rare to frequent, sets of n shingles that are similar enough share one
+    of their first n - ceil(n * percent / 100) + 1, so no link is lost. What a document has
+    to itself comes first; where it is too much, too little is left after it (positional
+    filter), so such documents meet nothing.
+    """
+    docs = apart.groupBy("doc_id", "component").agg(F.max("outer").alias("outer"))
+    rows = docs.join(sets, "doc_id").select("doc_id", "component", "outer", "shingles")
+    rows = rows.mapInArrow(_one_by_one, "doc_id long, component long, outer boolean, n long, s long")
+    rows = rows.join(rows.groupBy("s").agg(F.count("*").alias("held")), "s")
+    place = F.row_number().over(W.partitionBy("doc_id", "n").orderBy("held", "s"))
+    rows = rows.withColumn("place", place).filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("held") > 1))
+    left, right = rows.filter("outer").alias("l"), rows.alias("r")
+    other = (F.col("l.component") != F.col("r.component")) & (~F.col("r.outer") | (F.col("l.doc_id") < F.col("r.doc_id")))
+    close = 100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")
+    # From their first common shingle on, both must have as many left as they need in common.
+    left_over = 1 + F.least(F.col("l.n") - F.col("l.place"), F.col("r.n") - F.col("r.place"))
+    enough = (100 + percent) * left_over >= percent * (F.col("l.n") + F.col("r.n"))
+    return left.join(right, (F.col("l.s") == F.col("r.s")) & other & close & enough).select(F.col("l.doc_id").alias("doc_id"), F.col("r.doc_id").alias("pivot"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower: bool = True, rounds: int = 2, seed: int = 20240601) -> DataFrame:
     """Component of near-duplicates of each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Two documents are linked if 100 * |A n B| >= ``percent`` * |A u B| for their sets of
@@ -166,13 +203,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
     least = least_estimate(percent / 100)
     near = lambda a, b: (100 * F.least(a.n, b.n) >= percent * F.greatest(a.n, b.n)) & (estimate(a.sig, b.sig) >= least)
 
-    def confirmed(pairs: DataFrame, checked: bool = False) -> DataFrame:
+    def confirmed(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose sets are similar enough."""
-        if not checked:
-            a, b = (sigs.select(F.col("doc_id").alias(c), F.struct("n", "sig").alias("s" + c)) for c in "ab")
-            pairs = pairs.join(a, "a").join(b, "b").filter(near(F.col("sa"), F.col("sb"))).select("a", "b")
+        a, b = (sigs.select(F.col("doc_id").alias(c), F.struct("n", "sig").alias("s" + c)) for c in "ab")
+        pairs = pairs.distinct().join(a, "a").join(b, "b").filter(near(F.col("sa"), F.col("sb"))).select("a", "b")
         x, y = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(v)) for c, v in (("a", "x"), ("b", "y")))
-        pairs = pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y")
+        pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
         return pairs.mapInArrow(_confirm(percent), "a long, b long").distinct()
 
     first = members.filter("class_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("z")).filter("b < z")
@@ -180,32 +216,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
     found = confirmed(cand.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
     links = scratch.table(found.unionByName(repeated).distinct())
     comp = components(links, scratch)
-    for turn in range(1, rounds + 1):
+    for turn in range(1, rounds + 2):
         member = cand.select("key", "doc_id").join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        pick = F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "component")
-        split = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(pick).alias("pick"), F.max(pick).alias("last"))
-        split = split.filter("low < high").drop("low", "high")
-        open_members = scratch.table(member.join(split, "key"))
-        if turn < rounds:
-            pivot = F.explode(F.array("pick", "last"))
-            pairs = open_members.withColumn("pivot", pivot).filter("component <> pivot.component").select(F.least("doc_id", "pivot.doc_id").alias("a"), F.greatest("doc_id", "pivot.doc_id").alias("b"))
-            found = scratch.table(confirmed(pairs.distinct()))
+        split = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+        apart = scratch.table(member.join(split, "key"))
+        sized = apart.groupBy("key", "component").count()
+        largest = sized.groupBy("key").agg(F.max(F.struct("count", "component")).alias("m")).select("key", F.col("m.component").alias("largest"))
+        apart = scratch.table(apart.join(largest, "key").withColumn("outer", F.col("component") != F.col("largest")).drop("largest"))
+        if turn <= rounds:  # what is outside a bucket's largest component meets two of its members
+            order = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id")
+            picks = apart.filter("not outer").groupBy("key").agg(F.min(order).alias("first"), F.max(order).alias("last"))
+            pairs = apart.filter("outer").join(picks, "key").select("doc_id", F.explode(F.array("first.doc_id", "last.doc_id")).alias("pivot"))
         else:
-            sized = open_members.groupBy("key", "component").count()
-            largest = sized.groupBy("key").agg(F.max(F.struct("count", "component")).alias("m")).select("key", F.col("m.component").alias("largest"))
-            rows = open_members.select("key", "doc_id", "component").join(largest, "key").join(sigs, "doc_id")
-            rows = scratch.table(rows.select("key", "doc_id", "component", "n", "sig", (F.col("component") == F.col("largest")).alias("inside")))
-            left, right = rows.filter("not inside").alias("l"), rows.alias("r")
-            apart = (F.col("l.component") != F.col("r.component")) & (F.col("r.inside") | (F.col("l.doc_id") < F.col("r.doc_id")))
-            close = (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")) & (estimate(F.col("l.sig"), F.col("r.sig")) >= least)
-            pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & apart & close)
-            found = scratch.table(confirmed(pairs.select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")), checked=True))
-        if found.isEmpty():
-            if turn < rounds:
-                continue
-            break
-        links = scratch.table(links.unionByName(found))
-        comp = components(links, scratch)
+            pairs = _prefix_pairs(apart, sets, percent)
+        found = scratch.table(confirmed(pairs.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b"))))
+        if not found.isEmpty():
+            links = scratch.table(links.unionByName(found))
+            comp = components(links, scratch)
     comp = comp.withColumnRenamed("doc_id", "class_id")
     out = members.withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))).join(comp, "class_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "class_id"))
