@@ -72,17 +72,22 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        lengths = self.ends - self.starts
-        padded = np.concatenate([self.data, np.zeros(8, dtype=np.uint8)])
-        eight = np.ndarray((len(self.data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
-        h = mix(lengths.astype(np.uint64) * _C3 ^ (eight[self.starts] & _MASKS[np.minimum(lengths, 8)]))
-        live, done = np.flatnonzero(lengths > 8), 8
-        while len(live):
-            part = eight[self.starts[live] + done] & _MASKS[np.minimum(lengths[live] - done, 8)]
-            h[live] = mix(h[live] * _C3 ^ part)
-            done += 8
-            live = live[lengths[live] > done]
-        return h
+        return span_hashes(self.data, self.starts, self.ends)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of bytes, eight bytes at a time."""
+    lengths = ends - starts
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    h = mix(lengths.astype(np.uint64) * _C3 ^ (eight[starts] & _MASKS[np.minimum(lengths, 8)]))
+    live, done = np.flatnonzero(lengths > 8), 8
+    while len(live):
+        part = eight[starts[live] + done] & _MASKS[np.minimum(lengths[live] - done, 8)]
+        h[live] = mix(h[live] * _C3 ^ part)
+        done += 8
+        live = live[lengths[live] > done]
+    return h
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:

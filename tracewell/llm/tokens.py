@@ -10,10 +10,10 @@ document's ids by two selects, without a table of 64-bit offsets.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.textops import slices
+from tracewell.llm.textops import slices, span_hashes, text_bytes
 
 MAGIC = b"TWIDS\x01"
 #: One select sample for so many elements.
@@ -118,65 +118,112 @@ class Shard:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
 
+def _after_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a white space character ends right before each place of UTF-8 ``data`` (places of 3 at least, or padded)."""
+    p1, p2, p3 = data[at - 1], data[at - 2], data[at - 3]
+    one = ((p1 >= 9) & (p1 <= 13)) | ((p1 >= 28) & (p1 <= 32))
+    two = (p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0))
+    wide = (p2 == 0x80) & ((p1 <= 0x8A) | (p1 == 0xA8) | (p1 == 0xA9) | (p1 == 0xAF)) & (p1 >= 0x80) | (p2 == 0x81) & (p1 == 0x9F)
+    other = (p3 == 0xE1) & (p2 == 0x9A) & (p1 == 0x80) | (p3 == 0xE3) & (p2 == 0x80) & (p1 == 0x80)
+    return one | two | (p3 == 0xE2) & wide | other
+
+
 class Encoder:
     """A byte-level BPE of the tokenizers library that keeps the ids of pieces it has seen.
 
-    Its first step never joins a non-space character with a space after it, so a text in
-    which no white space stands before a space can be cut at each space. Other texts are
-    encoded whole. The kept pieces are dropped when they are ``most`` or more.
+    Its first step never joins a character with a space after it unless it is white space
+    itself, so a text in which no white space stands before a space can be cut at each
+    space. Any other text is one piece. Pieces are told apart by 64-bit hashes; all are
+    dropped when there are ``most`` or more.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 3_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), most
         self.tok.encode_special_tokens = True
-        self.whole = re.compile(r"\s ")
         self.clear()
 
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat, self.size, self.ends = np.zeros(1 << 20, dtype=np.uint32), 0, [0]
+    @classmethod
+    def shared(cls, path: str) -> Encoder:
+        """One for each process, so that a worker keeps its pieces from task to task."""
+        if path not in _ENCODERS:
+            _ENCODERS[path] = cls(path)
+        return _ENCODERS[path]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def clear(self) -> None:
+        none = np.zeros(0, dtype=np.uint64)
+        self.levels = [(none, none.astype(np.int64)), (none, none.astype(np.int64))]  # hashes in order and their numbers: many, and the latest
+        self.flat, self.size = np.zeros(1 << 20, dtype=np.uint32), 0
+        self.ends = np.zeros(1, dtype=np.int64)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each hash, or -1."""
+        out = np.full(len(h), -1, dtype=np.int64)
+        for known, number in self.levels:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                out = np.where(known[at] == h, number[at], out)
+        return out
+
+    def _learn(self, h: np.ndarray, pieces: list[str]) -> None:
         found = [x.ids for x in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
-        n = np.cumsum([len(x) for x in found], dtype=np.int64)
-        new = np.fromiter((y for x in found for y in x), dtype=np.uint32, count=int(n[-1]))
+        n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        new = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(n.sum()))
         while self.size + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.size : self.size + len(new)] = new
-        self.at.update(zip(pieces, range(len(self.ends) - 1, len(self.ends) - 1 + len(pieces))))
-        self.ends.extend((n + self.size).tolist())
+        self._add(1, h, np.arange(len(h)) + len(self.ends) - 1)
+        self.ends = np.concatenate([self.ends, self.size + np.cumsum(n)])
         self.size += len(new)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, and each text's number of ids."""
-        if len(self.at) >= self.most:
+        if len(self.levels[1][0]) > 1 << 17:
+            self._add(0, *self.levels[1])
+            self.levels[1] = (self.levels[1][0][:0], self.levels[1][1][:0])
+
+    def _add(self, level: int, h: np.ndarray, number: np.ndarray) -> None:
+        h, number = np.concatenate([self.levels[level][0], h]), np.concatenate([self.levels[level][1], number])
+        order = np.argsort(h)
+        self.levels[level] = (h[order], number[order])
+
+    def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts, and each text's number of ids."""
+        if len(self.ends) > self.most or self.size > 8 * self.most:
             self.clear()
-        pieces, counts = [], []
-        for text in texts:
-            if self.whole.search(text):
-                part = [text]
-            else:
-                first, *rest = text.split(" ")
-                part = [first, *map(" ".__add__, rest)] if first else [*map(" ".__add__, rest)]
-            pieces += part
-            counts.append(len(part))
-        if missing := [*{x for x in pieces if x not in self.at}]:
-            self._learn(missing)
-        index = np.fromiter(map(self.at.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-        ends = np.array(self.ends, dtype=np.int64)
-        start, n = ends[index], ends[index + 1] - ends[index]
-        stop = np.cumsum(n)
-        take = np.arange(stop[-1] if len(stop) else 0) + np.repeat(start - (stop - n), n)
-        total = np.concatenate([[0], stop])
-        return self.flat[take], np.diff(total[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])])
+        data, offsets = text_bytes(col)
+        padded = np.concatenate([np.full(3, 65, dtype=np.uint8), data])
+        spaces = np.flatnonzero(data == 32)
+        row = np.searchsorted(offsets, spaces, side="right") - 1
+        inner = spaces > offsets[row]
+        whole = np.zeros(len(offsets) - 1, dtype=bool)
+        whole[row[inner & _after_space(padded, spaces + 3)]] = True
+        begins = np.zeros(len(data) + 1, dtype=bool)
+        begins[offsets[:-1]] = True
+        begins[spaces[~whole[row]]] = True
+        begins[-1] = False
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(data))
+        h, first, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        number = self._find(h)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            raw = data.tobytes()
+            a, b = starts[first[new]].tolist(), ends[first[new]].tolist()
+            self._learn(h[new], [raw[x:y].decode() for x, y in zip(a, b)])
+            number = self._find(h)
+        number = number[back]
+        start, n = self.ends[number], self.ends[number + 1] - self.ends[number]
+        total = np.concatenate([[0], np.cumsum(n)])
+        take = np.arange(total[-1]) + np.repeat(start - total[:-1], n)
+        return self.flat[take], np.diff(total[np.searchsorted(starts, offsets)])
+
+
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def _write(path: str, end_id: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(path), TaskContext.get().partitionId()
+        encoder, part = Encoder.shared(path), TaskContext.get().partitionId()
         docs: list[int | None] = []
         lengths: list[np.ndarray] = []
         ids: list[np.ndarray] = []
@@ -190,8 +237,8 @@ def _write(path: str, end_id: int, shard_ids: int):
                 names=["part", "shard", "before", "n_docs", "n_tokens", "blob"],
             )
 
-        for batch in slices(batches, limit=1 << 20):
-            got, n = encoder.encode([x or "" for x in batch.column("text").to_pylist()])
+        for batch in slices(batches):
+            got, n = encoder.encode(batch.column("text"))
             out = np.full(len(got) + len(n), end_id, dtype=np.uint32)
             keep = np.ones(len(out), dtype=bool)
             keep[np.cumsum(n + 1) - 1] = False
