@@ -25,16 +25,17 @@ WIDTH, STRIDE, BLOCK, FILTERS, HIDDEN = 8, 4, 256, 32, 32
 def blocks_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts in blocks (n, BLOCK + WIDTH - STRIDE), the tail of each reaching into the next; blocks of each text.
 
-    A text is followed by zero bytes up to the end of its last block, at least as far as
-    its last filter reaches, so no filter sees two texts. Each has one block at least.
+    A text is followed by zero bytes, as far as its last filter reaches, so no filter sees
+    two texts. Each has one block at least.
     """
     size = np.diff(offsets)
-    count = np.maximum(1, -(-(size + WIDTH - STRIDE) // BLOCK))
+    count = np.maximum(1, -(-size // BLOCK))
     first = np.concatenate([[0], np.cumsum(count)])
     padded = np.zeros(int(first[-1]) * BLOCK + WIDTH, dtype=np.uint8)
     at = np.arange(len(data)) + np.repeat(first[:-1] * BLOCK - offsets[:-1], size)
     padded[at] = data
-    rows = np.lib.stride_tricks.as_strided(padded, (int(first[-1]), BLOCK + WIDTH - STRIDE), (BLOCK, 1), writeable=False)
+    rows = np.lib.stride_tricks.as_strided(padded, (int(first[-1]), BLOCK + WIDTH - STRIDE), (BLOCK, 1)).copy()
+    rows[first[1:] - 1, BLOCK:] = 0
     return rows, count
 
 
