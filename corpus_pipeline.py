@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.convnet import quality_model
@@ -18,10 +18,22 @@ from tracewell.llm.toxicity import with_scores
 LEAST_QUALITY = 0.3
 
 
+def unused(name: str, docs: DataFrame) -> str:
+    """``name``, or more underscores before it if docs has such a column."""
+    while name.lower() in map(str.lower, docs.columns):
+        name = "_" + name
+    return name
+
+
+def columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; it is trained on the labelled ones among them."""
     model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return with_scores(docs, model, "_score").filter(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
+    score = unused("_score", docs)
+    return with_scores(docs, model, score).filter(F.col(score) >= LEAST_QUALITY).select(*columns(docs))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,23 +43,24 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     known = docs.filter("doc_id is not null")
     copies = near_duplicates(known, shingle=5, percent=80).filter("not kept").select("doc_id").distinct()
-    kept = known.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    others = [c for c in docs.columns if c != "doc_id"]
-    one = kept.groupBy("doc_id").agg(F.min_by(F.struct(*others), F.xxhash64("text")).alias("_one")) if others else kept.distinct()
-    one = one.select(*(F.col("_one")[c].alias(c) if c != "doc_id" else F.col(c) for c in docs.columns)) if others else one
+    kept = known.join(copies, "doc_id", "left_anti").select(*columns(docs))
+    one = kept.groupBy("doc_id").agg(F.min_by(F.struct(*columns(docs)), F.xxhash64("text")).alias("one")).select(*(F.col("one")[c].alias(c) for c in docs.columns))
     return one.unionByName(docs.filter("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_leaks")
-    return found.filter(F.size("_leaks") == 0).select(*docs.columns)
+    leaks = unused("_leaks", docs)
+    found = with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), leaks)
+    return found.filter(F.size(leaks) == 0).select(*columns(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them whole, sources weighing 5, 2, 1 in turn."""
-    copies = F.explode(F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).otherwise(F.array().cast("array<int>")))
-    return mix(docs).select(*docs.columns, copies.alias("_copy")).select(*docs.columns)
+    copy = unused("_copy", docs)
+    mixed = mix(docs.select(F.struct(*columns(docs)).alias("own"), "doc_id", "source", "text"))
+    times = F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).otherwise(F.array().cast("array<int>"))
+    return mixed.select("own", F.explode(times).alias(copy)).select("own.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

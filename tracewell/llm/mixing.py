@@ -12,6 +12,8 @@ from tracewell.llm.storage import Scratch
 
 #: Words of a text: runs without space, tab, newline, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: What ``mix`` adds, in place of columns of these names.
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_copies")
 
 
 def word_count(text: Column) -> Column:
@@ -68,33 +70,37 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), percent: int = 150,
     end falls into, and only its documents are put in order.
     """
     scratch = Scratch(docs.sparkSession)
+    keep = [c for c in docs.columns if c not in ADDED]
     sized = F.coalesce(F.col(size).cast("long"), F.lit(0)) if size else word_count(F.col("text"))
     tie = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
-    rows = docs.withColumns({"mix_size": sized, "_order": F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string")))})
-    rows = rows.withColumn("_bucket", F.conv(F.substring("_order", 1, 4), 16, 10).cast("int"))
-    buckets = scratch.table(rows.groupBy("source", "_bucket").agg(F.sum("mix_size").alias("words")))
-    sums = buckets.groupBy("source").agg(F.sum("words").alias("mix_source_size"))
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string")))
+    # The caller's columns travel as one, so that their names meet no others.
+    own = F.struct(*(F.col(f"`{c}`") for c in keep))
+    rows = docs.select(own.alias("own"), F.col("source").cast("string").alias("source"), F.col("doc_id").alias("doc_id"), sized.alias("size"), order.alias("place"), tie.alias("tie"))
+    rows = rows.withColumn("bucket", F.conv(F.substring("place", 1, 4), 16, 10).cast("int"))
+    buckets = scratch.table(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
+    sums = buckets.groupBy("source").agg(F.sum("words").alias("source_size"))
     sums = ranked(sums, "source", scratch).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")))
-    sums = scratch.table(sums.withColumn("cap", F.col("mix_source_size") * epochs))
-    total = sums.agg(F.sum("mix_source_size")).first()[0] or 0
+    sums = scratch.table(sums.withColumn("cap", F.col("source_size") * epochs))
+    total = sums.agg(F.sum("source_size")).first()[0] or 0
     aims = water_fill(sums, total * percent / 100)
-    known = F.col("mix_source_size") > 0
-    aims = aims.withColumn("whole", F.when(known, F.floor(F.col("target") / F.col("mix_source_size"))).otherwise(0).cast("long"))
-    aims = aims.withColumn("rest", F.floor("target") - F.col("whole") * F.col("mix_source_size"))
-    aims = aims.select(F.col("source").alias("_source"), "mix_source_size", F.col("target").alias("mix_target"), "whole", "rest")
-    before = F.sum("words").over(W.partitionBy("source").orderBy("_bucket")) - F.col("words")
-    filled = buckets.withColumn("before", before).join(aims.select("_source", "rest"), F.col("source").eqNullSafe(F.col("_source")))
-    cuts = filled.filter("before <= rest and before + words > rest").select(F.col("_source").alias("_cut_source"), F.col("_bucket").alias("cut"), "before")
-    aims = scratch.table(aims.join(cuts, F.col("_source").eqNullSafe(F.col("_cut_source")), "left").drop("_cut_source"))
-    joined = rows.join(aims, rows["source"].eqNullSafe(F.col("_source"))).drop("_source")
+    known = F.col("source_size") > 0
+    aims = aims.withColumn("whole", F.when(known, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    aims = aims.withColumn("rest", F.floor("target") - F.col("whole") * F.col("source_size"))
+    aims = aims.select(F.col("source").alias("of"), "source_size", "target", "whole", "rest")
+    before = F.sum("words").over(W.partitionBy("source").orderBy("bucket")) - F.col("words")
+    filled = buckets.withColumn("before", before).join(aims.select("of", "rest"), F.col("source").eqNullSafe(F.col("of")))
+    cuts = filled.filter("before <= rest and before + words > rest").select(F.col("source").alias("cut_of"), F.col("bucket").alias("cut"), "before")
+    aims = scratch.table(aims.join(cuts, F.col("of").eqNullSafe(F.col("cut_of")), "left").drop("cut_of"))
+    joined = rows.join(aims, F.col("source").eqNullSafe(F.col("of")))
     # Without a cut the rest is the whole source (all words) or nothing.
-    below = F.coalesce(F.col("_bucket") < F.col("cut"), (F.col("rest") >= F.col("mix_source_size")) & known)
-    at_cut = F.coalesce(F.col("_bucket") == F.col("cut"), F.lit(False))
-    plain = joined.filter(~at_cut).withColumn("extra", F.when(below, F.col("mix_size")).otherwise(0))
-    order = W.partitionBy("source").orderBy("_order", "doc_id", "mix_size", tie).rowsBetween(W.unboundedPreceding, -1)
-    edge = joined.filter(at_cut).withColumn("_held", F.coalesce(F.sum("mix_size").over(order), F.lit(0)) + F.col("before"))
-    edge = edge.withColumn("extra", F.least("mix_size", F.greatest(F.lit(0), F.col("rest") - F.col("_held")))).drop("_held")
+    below = F.coalesce(F.col("bucket") < F.col("cut"), (F.col("rest") >= F.col("source_size")) & known)
+    at_cut = F.coalesce(F.col("bucket") == F.col("cut"), F.lit(False))
+    plain = joined.filter(~at_cut).withColumn("extra", F.when(below, F.col("size")).otherwise(0))
+    line = W.partitionBy("source").orderBy("place", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
+    edge = joined.filter(at_cut).withColumn("held", F.coalesce(F.sum("size").over(line), F.lit(0)) + F.col("before"))
+    edge = edge.withColumn("extra", F.least("size", F.greatest(F.lit(0), F.col("rest") - F.col("held")))).drop("held")
     out = plain.unionByName(edge)
-    again = F.when((F.col("extra") * 2 >= F.col("mix_size")) & (F.col("mix_size") > 0), 1).otherwise(0)
-    out = out.withColumns({"mix_taken": F.col("whole") * F.col("mix_size") + F.col("extra"), "mix_copies": (F.col("whole") + again).cast("long")})
-    return out.drop("_order", "_bucket", "cut", "before", "whole", "rest", "extra")
+    again = F.when((F.col("extra") * 2 >= F.col("size")) & (F.col("size") > 0), 1).otherwise(0)
+    values = (F.col("size"), F.col("source_size"), F.col("target"), F.col("whole") * F.col("size") + F.col("extra"), (F.col("whole") + again).cast("long"))
+    return out.select(*(F.col("own")[c].alias(c) for c in keep), *(v.alias(n) for n, v in zip(ADDED, values)))
