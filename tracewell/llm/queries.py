@@ -13,6 +13,7 @@ from tracewell.llm.hostrules import host_rules
 from tracewell.llm.licenses import license_scan
 from tracewell.llm.mixing import mix, word_count
 from tracewell.llm.neardup import near_duplicates
+from tracewell.llm.sql import SQL
 from tracewell.llm.storage import Scratch
 from tracewell.llm.substrings import dedup_substrings
 from tracewell.llm.tokens import read_documents, write_shards
@@ -35,7 +36,7 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents, two-word shingles, similarity of 0.8 or more."""
-    return near_duplicates(_documents(spark, sf_dir, "doc_id", "text"), shingle=2, percent=80)
+    return near_duplicates(_documents(spark, sf_dir, "doc_id", "text"), shingle=2, percent=80).drop("class_id")
 
 
 def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,4 +97,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
