@@ -267,3 +267,54 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(seen) == [(1, 3, 2.0), (2, 2, 3.0)]
+
+
+def test_patterns_and_chaos(spark):
+    from tracewell.operators import patterns
+
+    base = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (3, "c", 3)], "id long, name string, price long")
+    new = spark.createDataFrame([(2, None, 20), (9, "z", 9)], "id long, name string, price long")
+    after, cached = patterns.write_through(base, base.filter("id = 1"), new, "id", ["name", "price"])
+    assert rows(after) == [(1, "a", 1), (2, "b", 20), (3, "c", 3)] and rows(cached) == [(1, "a", 1), (2, "b", 20)]
+    assert rows(patterns.write_around(base, base, new, "id", ["price"])[1]) == [(1, "a", 1), (3, "c", 3)]
+    assert rows(patterns.write_back(base.limit(0), new, "id", ["price"])) == []
+    storm = patterns.stampede(spark, 7, 500)
+    assert patterns.loads(storm).first().loads == 1 and patterns.loads(storm, False).first().loads == 500
+    warm = patterns.scan_keys(spark, 0, 10)
+    config = keyed.CacheConfig(capacity=10)
+    assert patterns.chaos_report(warm, warm, config).first().hits == 10
+    assert patterns.chaos_report(warm.unionByName(patterns.expire_all(spark, 10)), warm, config).first().hits == 0
+    assert tuple(patterns.chaos_report(warm, patterns.penetrate(spark, 100, 5), config).first()) == (0, 5, 0.0)
+
+
+def test_frames_and_reports(spark):
+    from tracewell.operators import frames
+
+    t = spark.createDataFrame([(i * 10, i % 3, i % 2 == 0, float(i)) for i in range(20)], "now long, key long, hit boolean, millis double")
+    out = frames.frames(t, 100, 10, "LRU").orderBy("timestampMillis").collect()
+    assert len(out) == 2 and out[0].opsPerSecond == 100 and out[0].hitRatePercent == 50 and out[0].latencyMs.p50 == 5 and out[0].capacityFillPercent == 30
+    assert [(k.key, k["count"]) for k in out[0].topKeys] == [(0, 4), (1, 3), (2, 3)]
+    res = spark.createDataFrame([("a", 1, 3), ("b", 3, 1), ("a", 1, 3)], "policy string, hits long, misses long")
+    assert [(r.policy, r.place) for r in frames.standings(res).orderBy("place").collect()] == [("b", 1), ("a", 2)]
+    run_ = matrix.trace_run(spark.createDataFrame([(i, i % 5) for i in range(50)], "pos long, key long"), [5])
+    assert run_.first().distinct_keys == 5 and "LRU" in matrix.text_report(run_) and "90.00 %" in matrix.text_report(run_)
+    chart = spark.createDataFrame([(10, "A", 1, 5.0), (10, "B", 1, 6.0), (10, "A", 2, 7.0), (50, "A", 1, 9.0)], "capacity_percent int, impl string, threads int, ops_per_ms double")
+    assert rows(matrix.scaling_chart(chart, 10, ["A", "B"])) == [(1, 5.0, 6.0), (2, 7.0, None)]
+
+
+def test_jdbc(spark):
+    from tracewell.sources import jdbc
+
+    url = "jdbc:derby:memory:tracewell;create=true"
+    data = spark.createDataFrame([(i, f"n{i}") for i in range(50)], "id long, name string")
+    jdbc.insert(data, url, "items", batch=10, mode="overwrite")
+    assert rows(jdbc.find(spark, url, "items", "id", 7)) == [(7, "n7")]
+    assert jdbc.read_table(spark, url, "items", "id", (0, 50), 3).count() == 50
+
+
+def test_url_pieces(spark):
+    from tracewell.functions.text import key_path, query_parameter
+
+    q = spark.createDataFrame([("a=1&key=x%20y&key=z",), ("b=1",), ("",)], "q string")
+    assert [r[0] for r in q.select(query_parameter(F.col("q"), "key")).collect()] == ["z", None, None]
+    assert spark.range(1).select(key_path("/kv/", F.lit("a/b c"))).first()[0] == "/kv/a%2Fb+c"

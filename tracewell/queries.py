@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.hashing import fmix32, shard_of, spread
 from tracewell.functions.policies import POLICIES
-from tracewell.operators import catalog, keyed, recovery, replay, ring, summaries
+from tracewell.functions.text import key_path, query_parameter
+from tracewell.operators import catalog, frames, keyed, patterns, recovery, replay, ring, summaries
 from tracewell.plans import matrix
 from tracewell.sources import traces, wal, workloads
 from tracewell.storage import work_dir
@@ -601,3 +602,78 @@ def stream_idle_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS tick, count(*) AS requests, max(value) AS top_value FROM events GROUP BY 1")
 def hourly_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.ticks(table(spark, sf_dir, "events"), "1 hour").drop("keys")
+
+
+# --- patterns, frames and pieces
+
+
+def _stock(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Table, cache and updates (id, name, price): part, a third of it, and new prices."""
+    base = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"))
+    updates = base.filter("id % 7 = 0").select("id", F.lit(None).cast("string").alias("name"), (F.col("price") * 2).alias("price"))
+    return base, base.filter("id % 3 = 0"), updates
+
+
+@query("SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 7 = 0 THEN p_retailprice * 2 ELSE p_retailprice END AS price FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 7 = 0")
+def write_through_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.write_through(*_stock(spark, sf_dir), "id", ["name", "price"])[1]
+
+
+@query("SELECT p_partkey AS id, p_name AS name, p_retailprice AS price FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 7 <> 0")
+def write_around_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.write_around(*_stock(spark, sf_dir), "id", ["name", "price"])[1]
+
+
+@query("SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 7 = 0 THEN p_retailprice * 2 ELSE p_retailprice END AS price FROM part WHERE p_partkey % 3 = 0")
+def write_back_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, cached, updates = _stock(spark, sf_dir)
+    return patterns.write_back(cached, updates, "id", ["name", "price"])
+
+
+@query("SELECT 'with' AS flight, 1 AS loads UNION ALL SELECT 'without', 500 UNION ALL SELECT 'events', count(DISTINCT user_id) FROM events")
+def single_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    storm = patterns.stampede(spark, 7, 500)
+    out = patterns.loads(storm).withColumn("flight", F.lit("with"))
+    out = out.unionByName(patterns.loads(storm, False).withColumn("flight", F.lit("without")))
+    return out.unionByName(patterns.loads(trace(spark, sf_dir)).withColumn("flight", F.lit("events"))).select("flight", "loads")
+
+
+@query("SELECT * FROM (VALUES ('stampede', 499, 1, 0.998), ('scan', 0, 300, 0.0), ('penetrate', 0, 100, 0.0)) t(chaos, hits, misses, hit_rate)")
+def chaos_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before, config = patterns.scan_keys(spark, 1000, 64), keyed.CacheConfig(capacity=64)
+    runs = {"stampede": patterns.stampede(spark, 7, 500), "scan": patterns.scan_keys(spark, 5000, 300), "penetrate": patterns.penetrate(spark, 9000, 100)}
+    out = [patterns.chaos_report(before, r, config).select(F.lit(n).alias("chaos"), "hits", "misses", "hit_rate") for n, r in runs.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+FRAME_SQL = """
+WITH r AS (SELECT (epoch_us(ts) // 1000) // 3600000 * 3600000 AS tick, user_id, value, value > 50 AS hit FROM events),
+c AS (SELECT tick, user_id, count(*) AS n, row_number() OVER (PARTITION BY tick ORDER BY count(*) DESC, user_id) AS k FROM r GROUP BY 1, 2),
+v AS (SELECT tick, list_sort(list(value)) AS v, count(*) AS n, count(*) FILTER (hit) AS hits, count(DISTINCT user_id) AS keys FROM r GROUP BY 1)
+SELECT tick, v.n / 3600.0::DOUBLE AS ops, hits / v.n * 100 AS hit_percent, CAST(least(keys, 100) AS INTEGER) AS size, floor(v[least(len(v) - 1, CAST(floor(0.5 * len(v)) AS BIGINT)) + 1]) AS p50,
+       floor(v[least(len(v) - 1, CAST(floor(0.99 * len(v)) AS BIGINT)) + 1]) AS p99, c.user_id AS top_key, c.n AS top_count FROM v JOIN c USING (tick) WHERE k = 1"""
+
+
+@query(FRAME_SQL)
+def live_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = millis(spark, sf_dir).select("now", "key", (F.col("value") > 50).alias("hit"), F.col("value").alias("millis"))
+    out = frames.frames(rows, 3_600_000, 100, "LRU")
+    top = F.get("topKeys", F.lit(0))
+    return out.select(F.col("timestampMillis").alias("tick"), F.col("opsPerSecond").alias("ops"), F.col("hitRatePercent").alias("hit_percent"), "size", "latencyMs.p50", "latencyMs.p99", top["key"].alias("top_key"), top["count"].alias("top_count"))
+
+
+@query()
+def policy_standings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.standings(replay.replay(trace(spark, sf_dir), [50], list(POLICIES)))
+
+
+@query()
+def trace_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.trace_run(trace(spark, sf_dir), [20, 100])
+
+
+@query("SELECT c_custkey AS key, '/internal/kv/' || replace(c_name, '#', '%23') AS path, CAST(c_custkey AS VARCHAR) AS parameter FROM customer")
+def url_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    q = F.concat(F.lit("x=1&key="), F.col("c_custkey").cast("string"), F.lit("&y=%20"))
+    return c.select(F.col("c_custkey").alias("key"), key_path("/internal/kv/", F.col("c_name")).alias("path"), query_parameter(q, "key").alias("parameter"))
