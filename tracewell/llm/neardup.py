@@ -151,7 +151,7 @@ def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _prefix_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _prefix_pairs(apart: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (doc_id, pivot) from different components that share a rare shingle, one of them outside a largest component.
 
     In an order from rare to frequent, sets of n shingles that are similar enough share one
@@ -162,7 +162,7 @@ def _prefix_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     docs = apart.groupBy("doc_id", "component").agg(F.max("outer").alias("outer"))
     rows = docs.join(sets, "doc_id").select("doc_id", "component", "outer", "shingles")
     rows = rows.mapInArrow(_one_by_one, "doc_id long, component long, outer boolean, n long, s long")
-    rows = rows.join(rows.groupBy("s").agg(F.count("*").alias("held")), "s")
+    rows = rows.join(scratch.table(rows.groupBy("s").agg(F.count("*").alias("held"))), "s")
     place = F.row_number().over(W.partitionBy("doc_id", "n").orderBy("held", "s"))
     rows = rows.withColumn("place", place).filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("held") > 1))
     left, right = rows.filter("outer").alias("l"), rows.alias("r")
@@ -196,7 +196,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
     reps = scratch.table(reps.groupBy("doc_id", "d1", "d2").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     spread = reps.select("doc_id", F.explode("bands").alias("key"))
     buckets = spread.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("other")).filter("pivot < other").drop("other")
-    cand = scratch.table(spread.join(buckets, "key"))
+    # Aggregates are read back before they are joined: dealt anew, a hot key's partition can be split.
+    cand = scratch.table(spread.join(scratch.table(buckets), "key"))
     ids = cand.select("doc_id").distinct()
     sets = scratch.table(base.join(ids, "doc_id", "left_semi").mapInArrow(_sets(shingle, lower), "doc_id long, shingles binary"))
     sigs = scratch.table(reps.join(ids, "doc_id", "left_semi").select("doc_id", "n", "sig"))
@@ -219,16 +220,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
     for turn in range(1, rounds + 2):
         member = cand.select("key", "doc_id").join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         split = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-        apart = scratch.table(member.join(split, "key"))
+        apart = scratch.table(member.join(scratch.table(split), "key"))
         sized = apart.groupBy("key", "component").count()
         largest = sized.groupBy("key").agg(F.max(F.struct("count", "component")).alias("m")).select("key", F.col("m.component").alias("largest"))
-        apart = scratch.table(apart.join(largest, "key").withColumn("outer", F.col("component") != F.col("largest")).drop("largest"))
+        apart = scratch.table(apart.join(scratch.table(largest), "key").withColumn("outer", F.col("component") != F.col("largest")).drop("largest"))
         if turn <= rounds:  # what is outside a bucket's largest component meets two of its members
             order = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id")
             picks = apart.filter("not outer").groupBy("key").agg(F.min(order).alias("first"), F.max(order).alias("last"))
-            pairs = apart.filter("outer").join(picks, "key").select("doc_id", F.explode(F.array("first.doc_id", "last.doc_id")).alias("pivot"))
+            pairs = apart.filter("outer").join(scratch.table(picks), "key").select("doc_id", F.explode(F.array("first.doc_id", "last.doc_id")).alias("pivot"))
         else:
-            pairs = _prefix_pairs(apart, sets, percent)
+            pairs = _prefix_pairs(apart, sets, percent, scratch)
         found = scratch.table(confirmed(pairs.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b"))))
         if not found.isEmpty():
             links = scratch.table(links.unionByName(found))
