@@ -220,7 +220,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
     for turn in range(1, rounds + 2):
         member = cand.select("key", "doc_id").join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         split = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-        apart = scratch.table(member.join(scratch.table(split), "key"))
+        split = scratch.table(split)
+        if split.isEmpty():
+            break
+        apart = scratch.table(member.join(split, "key"))
         sized = apart.groupBy("key", "component").count()
         largest = sized.groupBy("key").agg(F.max(F.struct("count", "component")).alias("m")).select("key", F.col("m.component").alias("largest"))
         apart = scratch.table(apart.join(scratch.table(largest), "key").withColumn("outer", F.col("component") != F.col("largest")).drop("largest"))
