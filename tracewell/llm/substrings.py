@@ -165,6 +165,7 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = 50, seed: int = 20)
     anchors = scratch.table(source.mapInArrow(_anchors(length, seed), ANCHOR))
     first = anchors.groupBy("h").agg(F.min(F.struct("doc_id", "t", "pos")).alias("f"), F.max("doc_id").alias("other"))
     first = first.filter("f.doc_id < other").select("h", F.col("f.doc_id").alias("ldoc"), F.col("f.t").alias("lt"), F.col("f.pos").alias("lpos"))
+    first = scratch.table(first)  # read back, it is dealt anew for the join, where a hot anchor's partition can be split
     seeds = anchors.join(first, "h").filter("not (doc_id = ldoc and t = lt and pos = lpos)")
     seeds = scratch.table(seeds.drop("h"))
     scratch.drop(anchors)
@@ -179,7 +180,7 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = 50, seed: int = 20)
     spans = found.filter("b >= 0 and removes").select("doc_id", "t", "a", "b")
     alone = found.filter("b < 0").select("doc_id", "t", "a", "w")
     least = alone.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("other")).filter("least < other").drop("other")
-    second = alone.join(least, "w").filter("doc_id > least").select("doc_id", "t", "a", (F.col("a") + length).alias("b"))
+    second = alone.join(scratch.table(least), "w").filter("doc_id > least").select("doc_id", "t", "a", (F.col("a") + length).alias("b"))
     return spans.unionByName(second)
 
 
