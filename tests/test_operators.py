@@ -318,3 +318,20 @@ def test_url_pieces(spark):
     q = spark.createDataFrame([("a=1&key=x%20y&key=z",), ("b=1",), ("",)], "q string")
     assert [r[0] for r in q.select(query_parameter(F.col("q"), "key")).collect()] == ["z", None, None]
     assert spark.range(1).select(key_path("/kv/", F.lit("a/b c"))).first()[0] == "/kv/a%2Fb+c"
+
+
+def test_global_order(spark):
+    from tracewell.operators.order import asof, with_rank
+
+    rng = random.Random(9)
+    values = rng.sample(range(10**6), 500)
+    ranked = with_rank(spark.createDataFrame([(v,) for v in values], "v long").repartition(7), [F.desc("v")])
+    assert [r.v for r in ranked.orderBy("rank").collect()] == sorted(values, reverse=True) and {r["rank"] for r in ranked.collect()} == set(range(500))
+    marks = rng.sample(range(10**6), 40)
+    left = spark.createDataFrame([(v, i) for i, v in enumerate(values + marks[:3])], "k long, i long")
+    right = spark.createDataFrame([(m, f"m{m}") for m in marks], "k long, name string")
+    for forward in (False, True):
+        for r in asof(left, right, "k", "name", forward).collect():
+            near = [m for m in marks if (m >= r.k if forward else m <= r.k)]
+            assert r.name == (f"m{min(near) if forward else max(near)}" if near else None)
+    assert asof(left, right.limit(0), "k", "name").filter("name is not null").isEmpty() and asof(left.limit(0), right, "k", "name").isEmpty()

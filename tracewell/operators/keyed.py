@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.hashing import next_power_of_two, shard_of
 from tracewell.functions.policies import POLICIES
+from tracewell.operators.order import asof, with_rank
 
 CAUSES = ("EXPLICIT", "REPLACED", "SIZE", "EXPIRED")
 
@@ -284,7 +285,5 @@ def double_delete(updates: DataFrame, delay: int) -> DataFrame:
 
 def hot_swap(trace: DataFrame, changes: DataFrame) -> DataFrame:
     """Add ``segment`` to a trace (pos, key): the number of configuration changes (pos) before; each segment starts empty."""
-    marks = changes.select("pos", F.lit(None).cast(trace.schema["key"].dataType).alias("key"), F.lit(1).alias("change"))
-    rows = trace.select("pos", "key", F.lit(0).alias("change")).unionByName(marks)
-    segment = F.sum("change").over(W.orderBy("pos", F.desc("change")))
-    return rows.withColumn("segment", segment).filter("change = 0").drop("change")
+    numbered = with_rank(changes.select("pos"), [F.col("pos")], "segment").withColumn("segment", F.col("segment") + 1)
+    return asof(trace, numbered, "pos", "segment").withColumn("segment", F.coalesce("segment", F.lit(0)))

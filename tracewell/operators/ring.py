@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.functions.hashing import hash64, hash64_array
+from tracewell.operators.order import asof
 
 #: Fixed value: points of each node on the ring.
 VIRTUAL_NODES = 500
@@ -83,16 +84,12 @@ def ring_points(nodes: DataFrame, virtual: int = VIRTUAL_NODES) -> DataFrame:
 
 
 def ring_join(keys: DataFrame, ring: DataFrame) -> DataFrame:
-    """Add owner to keys (hash) by an as-of join with a ring table (hash, owner): the next point, wrapping round.
+    """Add owner to keys (hash) by an as-of join with a ring table (hash, owner): the next point, else the smallest.
 
-    Points and keys are range-partitioned windows of one order; for rings that are small, ``Ring`` is faster.
+    For rings that fit a task ``Ring`` is faster; this one has no limit.
     """
-    first = ring.agg(F.min_by("owner", "hash").alias("_wrap"))
-    rows = keys.withColumn("_owner", F.lit(None).cast("string")).withColumn("_point", F.lit(0))
-    points = ring.select(*(F.col("hash") if c == "hash" else F.lit(None).cast(keys.schema[c].dataType).alias(c) for c in keys.columns), F.col("owner").alias("_owner"), F.lit(1).alias("_point"))
-    w = W.orderBy("hash", "_point").rowsBetween(W.currentRow, W.unboundedFollowing)
-    found = rows.unionByName(points).withColumn("_next", F.first("_owner", ignorenulls=True).over(w)).filter("_point = 0")
-    return found.join(F.broadcast(first)).withColumn("owner", F.coalesce("_next", "_wrap")).drop("_owner", "_point", "_next", "_wrap")
+    first = ring.agg(F.min_by("owner", "hash")).first()[0]
+    return asof(keys, ring, "hash", "owner", forward=True).withColumn("owner", F.coalesce("owner", F.lit(first)))
 
 
 def fairness(placed: DataFrame, node: str = "owner") -> DataFrame:

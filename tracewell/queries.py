@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.functions.hashing import fmix32, shard_of, spread
 from tracewell.functions.policies import POLICIES
 from tracewell.functions.text import key_path, query_parameter
 from tracewell.operators import catalog, frames, keyed, patterns, recovery, replay, ring, summaries
+from tracewell.operators.order import with_rank
 from tracewell.plans import matrix
 from tracewell.sources import traces, wal, workloads
 from tracewell.storage import work_dir
@@ -121,16 +121,7 @@ def lru_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(DISTANCE_SQL + "SELECT i - 1 AS rank, k AS key, d AS distance FROM x")
 def reuse_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = replay.distances(trace(spark, sf_dir))
-    return traces_ranked(known).select("rank", "key", "distance")
-
-
-def traces_ranked(rows: DataFrame) -> DataFrame:
-    """Add rank from 0 by pos, over range partitions."""
-    placed = rows.repartitionByRange("pos").sortWithinPartitions("pos").withColumn("_p", F.spark_partition_id())
-    n = placed.groupBy("_p").count().withColumn("_before", F.sum("count").over(W.orderBy("_p")) - F.col("count"))
-    own = F.row_number().over(W.partitionBy("_p").orderBy("pos"))
-    return placed.withColumn("_r", own).join(F.broadcast(n), "_p").withColumn("rank", F.col("_before") + F.col("_r") - 1)
+    return with_rank(replay.distances(trace(spark, sf_dir)), [F.col("pos")]).select("rank", "key", "distance")
 
 
 @query()
@@ -345,7 +336,7 @@ def variant_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def heat_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = trace(spark, sf_dir).groupBy("key").agg(F.count("*").alias("n"))
     total = counts.count()
-    ranked = counts.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "key")) - 1)
+    ranked = with_rank(counts, [F.desc("n"), F.col("key")])
     return ranked.withColumn("bucket", summaries.heat_bucket(F.col("rank"), F.lit(total), 5))
 
 
@@ -588,14 +579,18 @@ def workload_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, event_id, coalesce((epoch_us(ts) // 1000) - lag((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) < 3600000, false) AS hit FROM events")
 def stream_idle_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, path = "spark.sql.streaming.stateStore.providerClass", work_dir(spark)
-    before = spark.conf.get(key)
-    spark.conf.set(key, live.ROCKSDB)
+    path = work_dir(spark)
+    few = str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))  # each is a state store
+    wanted = {"spark.sql.streaming.stateStore.providerClass": live.ROCKSDB, "spark.sql.shuffle.partitions": few}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         table(spark, sf_dir, "events").write.parquet(f"{path}/in")
         live.run_available(live.idle_state(live.read_requests(spark, f"{path}/in"), 3_600_000), f"{path}/out", f"{path}/checkpoint")
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema("user_id long, event_id long, hit boolean").parquet(f"{path}/out")
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.operators.order import with_rank
+
 RESULTS = T.StructType([
     T.StructField("workload", T.StringType()), T.StructField("workload_params", T.StringType()), T.StructField("key_space", T.IntegerType()), T.StructField("capacity", T.IntegerType()),
     T.StructField("seed", T.LongType()), T.StructField("policy", T.StringType()), T.StructField("hits", T.LongType()), T.StructField("misses", T.LongType()), T.StructField("hit_rate", T.DoubleType()),
@@ -43,7 +44,7 @@ def integer_keys(spark: SparkSession, path: str) -> DataFrame:
 def dense_ids(trace: DataFrame, key: str = "key") -> DataFrame:
     """(pos, id): keys numbered from 0 in the order of their first request."""
     first = trace.groupBy(key).agg(F.min("pos").alias("first_pos"))
-    ids = first.select(key, (F.row_number().over(W.orderBy("first_pos")) - 1).alias("id"))  # one row for each distinct key
+    ids = with_rank(first, [F.col("first_pos")], "id").select(key, "id")
     return trace.join(ids, key).select("pos", "id")
 
 
