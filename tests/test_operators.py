@@ -29,6 +29,9 @@ def test_shards_and_rates(spark):
     t = spark.createDataFrame([(i, rng.randrange(80)) for i in range(2000)], "pos long, key long")
     one = replay.sharded_replay(t, 32, [1]).first()
     assert one.hits == replay.lru_hits(t, [32]).first().hits
+    parts = {r.capacity: (r.hits, r.misses) for r in replay.lru_hits_in_parts(t, [1, 8, 32, 79, 200]).collect()}
+    assert parts == {r.capacity: (r.hits, r.misses) for r in replay.lru_hits(t, [1, 8, 32, 79, 200]).collect()}
+    assert replay.lru_hits_in_parts(t.limit(0), [4]).first().misses == 0
     many = replay.sharded_replay(t, 32, [4]).first()
     assert many.hits + many.misses == 2000
     rate = spark.range(1).select(replay.hit_rate(F.lit(0), F.lit(0)).alias("r")).first().r

@@ -23,7 +23,7 @@ def _by_partition(values: dict[int, object], kind: str) -> Column:
     return F.create_map(*pairs)[F.col("_p")]
 
 
-def _dealt(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+def dealt_by_range(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Rows in range partitions with their number ``_p``, written once: ranges are drawn from a sample that differs from run to run."""
     spark = df.sparkSession
     path = work_dir(spark)
@@ -34,7 +34,7 @@ def _dealt(df: DataFrame, order: Sequence[Column]) -> DataFrame:
 
 def with_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """Add the place of each row, from 0, in an order that should have no ties."""
-    dealt = _dealt(df, order)
+    dealt = dealt_by_range(df, order)
     before, at = {}, 0
     for p, n in sorted(map(tuple, dealt.groupBy("_p").count().collect())):
         before[p], at = at, at + n
@@ -51,7 +51,7 @@ def asof(left: DataFrame, right: DataFrame, key: str, value: str, forward: bool
     mine = left.select(F.struct(*left.columns).alias("_row"), F.col(key).alias("_k"), F.lit(None).cast(kind).alias("_v"))
     marks = right.select(F.lit(None).cast(mine.schema["_row"].dataType).alias("_row"), F.col(key).alias("_k"), F.col(value).alias("_v"))
     direction = F.col("_k").desc() if forward else F.col("_k").asc()
-    dealt = _dealt(mine.unionByName(marks), [direction])
+    dealt = dealt_by_range(mine.unionByName(marks), [direction])
     latest = dealt.filter("_v is not null").groupBy("_p").agg(F.min_by("_v", "_k").alias("v") if forward else F.max_by("_v", "_k").alias("v"))
     ends = dict(map(tuple, latest.collect()))
     carried, last = {}, None

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.hashing import next_power_of_two, shard_of
 from tracewell.functions.policies import OPTIMUM, POLICIES, reuse_distances, simulate
+from tracewell.operators.order import dealt_by_range
 
 NEVER = (1 << 31) - 1
 
@@ -135,3 +136,44 @@ def _parts(policy: object) -> dict[str, dict]:
     if hasattr(getattr(policy, "main", None), "probation"):
         found |= {"probation": policy.main.probation, "protected": policy.main.protected}
     return found
+
+
+def lru_hits_in_parts(trace: DataFrame, capacities: Sequence[int]) -> DataFrame:
+    """(capacity, hits, misses) of LRU on one trace (pos, key) of any length, by ranges of it side by side.
+
+    What LRU of capacity c knows at some request are the c keys used last before it. So each
+    range starts from the ``max(capacities)`` keys last used before it, which the ranges' own
+    last keys give: the driver merges so many keys of each range, in order.
+    """
+    most = max(capacities)
+    dealt = dealt_by_range(trace.select("pos", "key"), [F.col("pos").asc()])
+    ends = dealt.groupBy("_p", "key").agg(F.max("pos").alias("pos"))
+    newest = F.row_number().over(W.partitionBy("_p").orderBy(F.desc("pos")))
+    ends = ends.withColumn("r", newest).filter(F.col("r") <= most).orderBy("_p", "pos").collect()  # capacity rows for each range
+    of_part: dict[int, list] = {}
+    for r in ends:
+        of_part.setdefault(r["_p"], []).append(r["key"])
+    state: dict = {}  # keys in order of their last use
+    warm = []
+    for part, keys in sorted(of_part.items()):
+        warm += [(part, i - len(state), k) for i, k in enumerate(state)]
+        for k in keys:
+            state.pop(k, None)
+            state[k] = None
+        for k in list(state)[: max(0, len(state) - most)]:
+            del state[k]
+    kind = trace.schema["key"].dataType.simpleString()
+    before = trace.sparkSession.createDataFrame(warm, f"_p int, pos long, key {kind}").withColumn("_warm", F.lit(True))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["_warm", "pos"], ascending=[False, True])
+        d = np.array(reuse_distances(frame["key"].tolist()))[~frame["_warm"].to_numpy()]
+        d = np.where((d < 0) | (d >= most), -1, d)
+        values, counts = np.unique(d, return_counts=True)
+        return pd.DataFrame({"distance": values, "n": counts})
+
+    rows = dealt.select("_p", "pos", "key", F.lit(False).alias("_warm")).unionByName(before)
+    known = rows.groupBy("_p").applyInPandas(run, "distance long, n long").groupBy("distance").agg(F.sum("n").alias("n"))
+    held = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *(F.coalesce(F.sum(F.when((F.col("distance") >= 0) & (F.col("distance") < c), F.col("n"))), F.lit(0)).alias(f"_{c}") for c in capacities))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("capacity"), F.col(f"_{c}").alias("hits")) for c in capacities)))
+    return held.select("n", each.alias("e")).select("e.*", (F.col("n") - F.col("e.hits")).alias("misses"))

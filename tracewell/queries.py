@@ -119,6 +119,11 @@ def lru_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.lru_hits(trace(spark, sf_dir), [5, 20, 50, 100])
 
 
+@query(SQL["lru_hits"])
+def lru_hits_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.lru_hits_in_parts(trace(spark, sf_dir), [5, 20, 50, 100])
+
+
 @query(DISTANCE_SQL + "SELECT i - 1 AS rank, k AS key, d AS distance FROM x")
 def reuse_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_rank(replay.distances(trace(spark, sf_dir)), [F.col("pos")]).select("rank", "key", "distance")
@@ -633,7 +638,7 @@ def single_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(patterns.loads(trace(spark, sf_dir)).withColumn("flight", F.lit("events"))).select("flight", "loads")
 
 
-@query("SELECT * FROM (VALUES ('stampede', 499, 1, 0.998), ('scan', 0, 300, 0.0), ('penetrate', 0, 100, 0.0)) t(chaos, hits, misses, hit_rate)")
+@query("SELECT chaos, hits::BIGINT AS hits, misses::BIGINT AS misses, hit_rate::DOUBLE AS hit_rate FROM (VALUES ('stampede', 499, 1, 0.998), ('scan', 0, 300, 0.0), ('penetrate', 0, 100, 0.0)) t(chaos, hits, misses, hit_rate)")
 def chaos_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, config = patterns.scan_keys(spark, 1000, 64), keyed.CacheConfig(capacity=64)
     runs = {"stampede": patterns.stampede(spark, 7, 500), "scan": patterns.scan_keys(spark, 5000, 300), "penetrate": patterns.penetrate(spark, 9000, 100)}
