@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tracewell.llm.toxicity import with_scores
 from tracewell.llm.training import constant, labelled_sample, logistic_fit, remainder, sigmoid
 
-WIDTH, STRIDE, BLOCK, FILTERS, HIDDEN = 8, 4, 256, 32, 32
+WIDTH, STRIDE, BLOCK, FILTERS, HIDDEN = 8, 4, 256, 64, 32
 
 
 def blocks_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
