@@ -54,6 +54,13 @@ def water_fill(sources: DataFrame, total: float) -> DataFrame:
         level, clamped = (total - row["held"]) / row["free"], row["n"]
 
 
+def _cut(parts: DataFrame, part: str) -> DataFrame:
+    """The part (source, ``part``, words) of each source in which its words come over ``rest``, with ``start`` words before it."""
+    before = F.col("start") + F.sum("words").over(W.partitionBy("of").orderBy(part)) - F.col("words")
+    found = parts.withColumn("start", before).filter("start <= rest and start + words > rest")
+    return found.select("source", "of", part, "rest", "start")
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), percent: int = 150, epochs: int = 2, seed: int = 7, size: str | None = None) -> DataFrame:
     """Mix docs (doc_id, source and text, or a column named by ``size``) to target weights.
 
@@ -66,8 +73,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), percent: int = 150,
 
     A null text or one without words has size 0. A null source is a source. Rows that
     repeat an id, or have none, are documents of their own. Hash order needs no task that
-    sees a whole source: word sums of 65,536 hash buckets find the one bucket that the
-    end falls into, and only its documents are put in order.
+    sees a whole source: word sums of 256 hash buckets, then of the 256 within one of them,
+    find the bucket that the end falls into, and only its documents are put in order.
     """
     scratch = Scratch(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ADDED]
@@ -88,9 +95,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), percent: int = 150,
     aims = aims.withColumn("whole", F.when(known, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     aims = aims.withColumn("rest", F.floor("target") - F.col("whole") * F.col("source_size"))
     aims = aims.select(F.col("source").alias("of"), "source_size", "target", "whole", "rest")
-    before = F.sum("words").over(W.partitionBy("source").orderBy("bucket")) - F.col("words")
-    filled = buckets.withColumn("before", before).join(aims.select("of", "rest"), F.col("source").eqNullSafe(F.col("of")))
-    cuts = filled.filter("before <= rest and before + words > rest").select(F.col("source").alias("cut_of"), F.col("bucket").alias("cut"), "before")
+    wide = buckets.groupBy("source", F.shiftright("bucket", 8).alias("part")).agg(F.sum("words").alias("words"))
+    start = aims.select("of", "rest", F.lit(0).cast("long").alias("start"))
+    cut = _cut(wide.join(start, F.col("source").eqNullSafe(F.col("of"))), "part")
+    inner = buckets.withColumn("wide", F.shiftright("bucket", 8)).join(cut.drop("source"), F.col("source").eqNullSafe(F.col("of")) & (F.col("wide") == F.col("part")))
+    cuts = _cut(inner.drop("part"), "bucket").select(F.col("of").alias("cut_of"), F.col("bucket").alias("cut"), F.col("start").alias("before"))
     aims = scratch.table(aims.join(cuts, F.col("of").eqNullSafe(F.col("cut_of")), "left").drop("cut_of"))
     joined = rows.join(aims, F.col("source").eqNullSafe(F.col("of")))
     # Without a cut the rest is the whole source (all words) or nothing.
