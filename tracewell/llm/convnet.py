@@ -61,7 +61,7 @@ class ConvNet:
             total += self.table[k][seen[:, :, k]]
         return total
 
-    def maxima(self, rows: np.ndarray, tile: int = 1024) -> np.ndarray:
+    def maxima(self, rows: np.ndarray, tile: int = 256) -> np.ndarray:
         """Each block's maximum of each filter."""
         parts = [self._answers(rows[i : i + tile]).max(axis=1) for i in range(0, len(rows), tile)]
         return np.concatenate(parts) if parts else np.zeros((0, FILTERS), np.float32)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +16,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 _C1, _C2, _C3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
+_C = ctypes.CDLL(None)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes of text that are tokenised at once; it bounds the working memory.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,17 +39,31 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that each piece has about ``limit`` bytes of ``column`` at most (one row at least)."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        _, offsets = text_bytes(batch.column(column))
-        at = 0
-        while at < batch.num_rows:
-            to = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
-            to = min(max(to, at + 1), batch.num_rows)
-            yield batch.slice(at, to - at)
-            at = to
+    """The batches, cut so that each piece has about ``limit`` bytes of ``column`` at most (one row at least).
+
+    At the end the worker gives freed memory back, as it waits for other tasks.
+    """
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            _, offsets = text_bytes(batch.column(column))
+            at = 0
+            while at < batch.num_rows:
+                to = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
+                to = min(max(to, at + 1), batch.num_rows)
+                yield batch.slice(at, to - at)
+                at = to
+    finally:
+        release()
+
+
+def release() -> None:
+    """Return memory that is free but still held to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_C, "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 class Words:
