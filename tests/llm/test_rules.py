@@ -153,6 +153,25 @@ def test_alike_branches_merge(spark):
     assert {r.template for r in plain.collect()} == {"/*/x"}
 
 
+def test_crowds_lend_no_labels(spark):
+    judge = lambda pages, rules, *label: {r.page_id: r for r in urls.url_filter(spark.createDataFrame(pages, "page_id long, url string, label int"), rules, *label).collect()}
+    for n in (19, 20, 40):  # one labelled segment, with 20, 21 and 41 in all
+        ruled = [(i, f"http://h.com/en/{i}", None) for i in range(9)] + [(100 + i, f"http://h.com/s{i}s/{i}", None) for i in range(n)]
+        out = judge(ruled, RULES)
+        assert all(r.verdict == ("block" if i < 100 else "allow") for i, r in out.items()), n
+        assert out[0].bad_share > 0.8 and out[100].bad_share == 0.25
+    # One spam section among 30 others; unlabelled siblings follow the many that are alike.
+    spam = [(i, f"http://h.com/spam/x{i}", 1) for i in range(30)] + [(100 + i, f"http://h.com/g{i % 30}g/x", 0) for i in range(300)] + [(500, "http://h.com/spam/new", None), (501, "http://h.com/new/x", None)]
+    out = judge(spam, {}, "label")
+    assert out[500].template.startswith("/spam/") and out[0].verdict == "block" and out[100].verdict == "allow"
+    assert out[501].template == "/*/x" == out[100].template and out[501].bad_share < 0.01
+    # Bad numbers and two bad names that are alike: a crowd without labels gets none of theirs.
+    few = [(i, f"http://h.com/{i}", 1) for i in range(30)] + [(100 + i, f"http://h.com/{'ab'[i % 2]}", 1) for i in range(20)] + [(200 + i, f"http://h.com/u{i}u", None) for i in range(30)]
+    out = judge(few, {}, "label")
+    assert out[0].template == out[100].template == "/*" and out[0].verdict == "block"
+    assert {(out[200 + i].template, out[200 + i].verdict) for i in range(30)} == {("/?", "allow")}
+
+
 def fill(weights, caps, total):
     """Clamp, reshare, repeat."""
     fixed = {}

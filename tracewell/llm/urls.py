@@ -1,14 +1,18 @@
 """URL filters: rules for hosts and paths, and a tree of path templates with labelled purity.
 
 The tree grows level by level over the distinct paths, with one row for each: segments that
-look variable, or whose parent has too many different ones, become ``*``; siblings whose
-labels don't differ more than chance allows become one branch. Each level is two grouped
-counts and a join, so a host may have any number of paths.
+look variable become ``*``; so do siblings whose labels don't differ more than chance allows.
+Labelled ones that differ, or have no labelled sibling, stay branches of their own, however
+many siblings there are. Where more than ``most_kids`` labelled siblings are alike, those
+without labels are taken for more of the same; otherwise a crowd of them becomes one branch
+without labels (``?`` if ``*`` has some). So paths without labels change no other's verdict.
+Each level is three grouped counts and joins, so a host may have any number of paths.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,29 +50,33 @@ def path_templates(paths: DataFrame, scratch: Scratch, most_kids: int = 20, dept
     """
     segments = F.split(F.regexp_replace("path", r"^/", ""), "/")
     rows = scratch.table(paths.withColumns({"_segments": segments, "template": F.lit("")}))
+    done = []
     for level in range(depth):
         seg = F.get("_segments", F.lit(level))
-        here = rows.filter(seg.isNotNull()).withColumn("_seg", F.when(seg.rlike(VARIABLE), "*").otherwise(seg))
-        kids = here.groupBy("host", "template", "_seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
+        here = rows.withColumn("_seg", F.when(seg.rlike(VARIABLE), "*").otherwise(seg))
+        kids = here.groupBy("host", "template", "_seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")), F.count("*").alias("paths"))
         kids = scratch.table(kids)
         if kids.isEmpty():
             break
-        named = F.when(F.col("_seg") != "*", 1).otherwise(0)
-        total = kids.groupBy("host", "template").agg(F.sum(named).alias("kids"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"), F.count(F.when(F.col("labelled") > 0, 1)).alias("seen"))
-        kids = kids.join(total, ["host", "template"])
+        named, known = F.col("_seg") != "*", F.col("labelled") > 0
+        total = kids.groupBy("host", "template").agg(F.count_if(named).alias("kids"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"), F.count_if(known).alias("seen"), F.sum("paths").alias("all_paths"))
+        kids = kids.join(scratch.table(total), ["host", "template"])  # aggregates are read back, so hot parents' partitions can be split
         # A branch differs from its siblings if its bad share is more than z standard errors from theirs.
         rest, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
         p = F.try_divide("all_bad", "all_labelled")
         gap = F.abs(F.try_divide("bad", "labelled") - F.try_divide(rest_bad, rest))
         error = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), rest)))
-        alike = F.coalesce((F.col("seen") > 1) & (gap <= z * error), F.lit(False))
-        wild = (F.col("_seg") == "*") | (F.col("kids") > most_kids) | alike
-        names = scratch.table(kids.select("host", "template", "_seg", F.when(wild, "*").otherwise(F.col("_seg")).alias("_name")))
-        raw = F.coalesce(F.when(seg.rlike(VARIABLE), "*").otherwise(seg), F.lit(""))
-        grown = rows.withColumn("_seg", raw).join(names, ["host", "template", "_seg"], "left")
-        rows = scratch.table(grown.withColumn("template", F.when(F.get("_segments", F.lit(level)).isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "_name"))).drop("_seg", "_name"))
-    deeper = F.size("_segments") > depth
-    return rows.withColumn("template", F.when(deeper, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("_segments")
+        kids = scratch.table(kids.withColumn("alike", F.coalesce((F.col("seen") > 1) & (gap <= z * error), F.lit(False))))
+        merged = kids.groupBy("host", "template").agg(F.count_if(named & F.col("alike")).alias("alikes"), F.count_if(known & (~named | F.col("alike"))).alias("starred"))
+        # Siblings without labels share those of others only where many labelled ones are alike; a mere crowd gets a branch without any.
+        crowd = F.when(F.col("starred") > 0, "?").otherwise("*")
+        name = F.when(~named | F.col("alike"), "*").when(known, F.col("_seg")).when(F.col("alikes") > most_kids, "*").when(F.col("kids") > most_kids, crowd).otherwise(F.col("_seg"))
+        names = scratch.table(kids.join(scratch.table(merged), ["host", "template"]).select("host", "template", "_seg", name.alias("_name"), "all_labelled", "all_paths"))
+        grown, more = F.concat("template", F.lit("/"), "_name"), F.size("_segments") > level + 1
+        all_rows = scratch.table(here.join(names, ["host", "template", "_seg"]).select(*paths.columns, "_segments", grown.alias("template"), more.alias("_more")))
+        done.append(all_rows.filter("NOT _more").drop("_more", "_segments"))
+        rows = all_rows.filter("_more").drop("_more")
+    return reduce(DataFrame.unionByName, done, rows.withColumn("template", F.concat("template", F.lit("/**"))).drop("_segments"))
 
 
 def url_filter(pages: DataFrame, rules: dict[str, str], label: str | None = None, most_bad: float = 0.5, prior: Sequence[float] = (0.5, 1.5)) -> DataFrame:
@@ -95,7 +103,7 @@ def url_filter(pages: DataFrame, rules: dict[str, str], label: str | None = None
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
     paths = path_templates(paths, scratch)
     share = (F.sum("bad") + prior[0]) / (F.sum("labelled") + sum(prior))
-    purity = paths.groupBy("host", "template").agg(share.alias("bad_share"))
+    purity = scratch.table(paths.groupBy("host", "template").agg(share.alias("bad_share")))
     known = scratch.table(paths.select("host", "path", "template").join(purity, ["host", "template"]))
     out = rows.join(known, ["host", "path"])
     own = F.when(F.col("bad_share") > most_bad, "block").otherwise("allow")
