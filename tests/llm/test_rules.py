@@ -172,6 +172,16 @@ def test_crowds_lend_no_labels(spark):
     assert {(out[200 + i].template, out[200 + i].verdict) for i in range(30)} == {("/?", "allow")}
 
 
+def test_deep_branches_are_judged(spark):
+    deep = "http://h.com/a/b/c/d/e/f"
+    pages = [(100 * k + i, f"{deep}/g/{end}/{i}", int(end == "bad")) for k, end in enumerate(["bad", "good", "fine", "well"]) for i in range(40)]
+    pages += [(900, f"{deep}/g/bad/999", None), (901, f"{deep}/g/good/999", None), (902, "http://h2.com/a/b/c/d/e/f/z/y/1", 1), (903, f"{deep}/q/1", None), (904, f"{deep}/q/2/x", None)]
+    out = {r.page_id: r for r in urls.url_filter(spark.createDataFrame(pages, "page_id long, url string, label int"), {}, "label").collect()}
+    assert len(out) == len(pages) and out[900].verdict == "block" and out[901].verdict == "allow"
+    assert out[900].template == "/a/b/c/d/e/f/g/bad/*" == out[0].template and out[900].bad_share > 0.9 and out[901].bad_share < 0.1
+    assert out[902].template == "/a/b/c/d/e/f/z/y/*" and out[904].template == "/a/b/c/d/e/f/q/**" and out[904].bad_share == 0.25
+
+
 def fill(weights, caps, total):
     """Clamp, reshare, repeat."""
     fixed = {}

@@ -46,12 +46,13 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> tuple[Column,
 def path_templates(paths: DataFrame, scratch: Scratch, most_kids: int = 20, depth: int = 6, z: float = 1.96) -> DataFrame:
     """Add ``template`` to paths (host, path, n, labelled, bad; one row for each host and path).
 
-    Below ``depth`` segments the rest of a path is ``**`` if there is any.
+    Levels grow until no path has a segment left. From ``depth`` segments on, the rest of a path
+    is ``**`` where no path of its branch has a label, which leaves every share as it is.
     """
     segments = F.split(F.regexp_replace("path", r"^/", ""), "/")
     rows = scratch.table(paths.withColumns({"_segments": segments, "template": F.lit("")}))
-    done = []
-    for level in range(depth):
+    done, level = [], 0
+    while True:
         seg = F.get("_segments", F.lit(level))
         here = rows.withColumn("_seg", F.when(seg.rlike(VARIABLE), "*").otherwise(seg))
         kids = here.groupBy("host", "template", "_seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")), F.count("*").alias("paths"))
@@ -73,10 +74,16 @@ def path_templates(paths: DataFrame, scratch: Scratch, most_kids: int = 20, dept
         name = F.when(~named | F.col("alike"), "*").when(known, F.col("_seg")).when(F.col("alikes") > most_kids, "*").when(F.col("kids") > most_kids, crowd).otherwise(F.col("_seg"))
         names = scratch.table(kids.join(scratch.table(merged), ["host", "template"]).select("host", "template", "_seg", name.alias("_name"), "all_labelled", "all_paths"))
         grown, more = F.concat("template", F.lit("/"), "_name"), F.size("_segments") > level + 1
+        if level >= depth:
+            # Where no label is left, or a path is alone in its branch, no sibling can matter any more.
+            tail = F.transform(F.slice("_segments", level + 1, F.size("_segments")), lambda s: F.when(s.rlike(VARIABLE), "*").otherwise(s))
+            bare, alone = F.col("all_labelled") == 0, F.col("all_paths") == 1
+            grown = F.when(bare, F.concat("template", F.lit("/**"))).when(alone, F.concat("template", F.lit("/"), F.array_join(tail, "/"))).otherwise(grown)
+            more &= ~(bare | alone)
         all_rows = scratch.table(here.join(names, ["host", "template", "_seg"]).select(*paths.columns, "_segments", grown.alias("template"), more.alias("_more")))
         done.append(all_rows.filter("NOT _more").drop("_more", "_segments"))
-        rows = all_rows.filter("_more").drop("_more")
-    return reduce(DataFrame.unionByName, done, rows.withColumn("template", F.concat("template", F.lit("/**"))).drop("_segments"))
+        rows, level = all_rows.filter("_more").drop("_more"), level + 1
+    return reduce(DataFrame.unionByName, done, rows.drop("_segments"))
 
 
 def url_filter(pages: DataFrame, rules: dict[str, str], label: str | None = None, most_bad: float = 0.5, prior: Sequence[float] = (0.5, 1.5)) -> DataFrame:
