@@ -1,6 +1,7 @@
 """The registered queries: names, and those with SQL against DuckDB on the smallest tables."""
 
 import glob
+import inspect
 import os
 
 import pytest
@@ -37,3 +38,22 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_workloads_are_registered_in_full(monkeypatch):
+    from tracewell import queries
+
+    seen = []
+    monkeypatch.setattr(queries.matrix, "ranking", lambda results, workload, capacity: results)
+    real = inspect.signature(queries.matrix.hit_ratio_matrix)
+
+    def record(*args, **kwargs):
+        bound = real.bind(*args, **kwargs)
+        bound.apply_defaults()
+        seen.append(bound.arguments)
+
+    monkeypatch.setattr(queries.matrix, "hit_ratio_matrix", record)
+    queries.QUERIES["workload_matrix"](None, DATA)
+    queries.QUERIES["workload_ranking"](None, DATA)
+    assert [a["requests"] for a in seen] == [300_000] * 2 and [tuple(a["seeds"]) for a in seen] == [(1, 2, 3)] * 2
+    assert tuple(seen[0]["capacities"]) == (50, 200, 1000) and seen[0]["workloads"] is None and len(seen[0]["policies"]) == 12

@@ -189,12 +189,12 @@ def arc_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def workload_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matrix.hit_ratio_matrix(spark, requests=3000, capacities=(50, 200), seeds=(1, 2))
+    return matrix.hit_ratio_matrix(spark)
 
 
 @query()
 def workload_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matrix.ranking(matrix.hit_ratio_matrix(spark, requests=3000, capacities=(50,), seeds=(1, 2), workloads=["zipf-0.99"]), "zipf-0.99", 50)
+    return matrix.ranking(matrix.hit_ratio_matrix(spark, capacities=(50,), workloads=["zipf-0.99"]), "zipf-0.99", 50)
 
 
 @query("SELECT i AS pos, CAST(i % 101 AS INTEGER) AS key FROM range(5000) t(i)")
