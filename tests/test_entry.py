@@ -57,3 +57,9 @@ def test_workloads_are_registered_in_full(monkeypatch):
     queries.QUERIES["workload_ranking"](None, DATA)
     assert [a["requests"] for a in seen] == [300_000] * 2 and [tuple(a["seeds"]) for a in seen] == [(1, 2, 3)] * 2
     assert tuple(seen[0]["capacities"]) == (50, 200, 1000) and seen[0]["workloads"] is None and len(seen[0]["policies"]) == 12
+
+
+def test_expire_all_is_reported(spark):
+    from tracewell.queries import QUERIES
+
+    assert [tuple(r) for r in QUERIES["chaos_expire_all"](spark, DATA).collect()] == [("expire-all", 0, 64, 0.0)]

@@ -646,6 +646,14 @@ def chaos_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+@query("SELECT 'expire-all' AS chaos, 0::BIGINT AS hits, 64::BIGINT AS misses, 0.0::DOUBLE AS hit_rate")
+def chaos_expire_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fourth run of D8, beside ``chaos_report``: requests for the keys that a full cache held before all expired."""
+    held = patterns.scan_keys(spark, 1000, 64)
+    out = patterns.chaos_report(held.unionByName(patterns.expire_all(spark, 64)), held, keyed.CacheConfig(capacity=64))
+    return out.select(F.lit("expire-all").alias("chaos"), "hits", "misses", "hit_rate")
+
+
 FRAME_SQL = """
 WITH r AS (SELECT (epoch_us(ts) // 1000) // 3600000 * 3600000 AS tick, user_id, value, value > 50 AS hit FROM events),
 c AS (SELECT tick, user_id, count(*) AS n, row_number() OVER (PARTITION BY tick ORDER BY count(*) DESC, user_id) AS k FROM r GROUP BY 1, 2),
