@@ -111,6 +111,46 @@ def test_near_duplicates(spark, k, percent):
         assert r.kept == (r.doc_id == r.component_id)
 
 
+def edited(rng, words, edits):
+    w = list(words)
+    for i in rng.sample(range(len(w)), edits):
+        w[i] = f"x{rng.randrange(10**9)}"
+    return " ".join(w)
+
+
+def test_near_duplicates_across_blocks(spark):
+    """Copies of copies that link in places only, in many small blocks, equal all pairs."""
+    rng = random.Random(17)
+    base = sentence(rng, 90, 5000).split()
+    near = [edited(rng, base, rng.choice([1, 3, 4, 5, 5])).split() for _ in range(40)]
+    pairs = list(enumerate([" ".join(w) for w in near] + [edited(rng, rng.choice(near), rng.choice([1, 4, 5])) for _ in range(80)]))
+    want, _ = similar(pairs, 2, 80)
+    assert len(set(want.values())) > 3
+    got = neardup.near_duplicates(frame(spark, pairs), shingle=2, block_rows=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_near_duplicate_rows_grow_with_the_group(spark, monkeypatch):
+    """No step makes rows by the square of a group's size, whether its copies link or none do."""
+    counts = []
+    plain = Scratch.table
+
+    def table(self, df):
+        out = plain(self, df)
+        counts[-1] = max(counts[-1], out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "table", table)
+    rng = random.Random(23)
+    base = sentence(rng, 100, 5000).split()
+    for edits in ([6], [1, 2, 3, 4, 5]):
+        counts.clear()
+        for n in (100, 400):
+            counts.append(0)
+            neardup.near_duplicates(frame(spark, [(i, edited(rng, base, rng.choice(edits))) for i in range(n)]), shingle=2)
+        assert counts[1] <= 5 * counts[0]
+
+
 def test_near_duplicates_odd_rows(spark):
     rng = random.Random(8)
     a, b = sentence(rng, 60), sentence(rng, 60)

@@ -16,17 +16,17 @@ def components(links: DataFrame, scratch: Scratch, most: int = 100) -> DataFrame
     Stars, as pivots make them, end after two or three rounds.
     """
     both = scratch.table(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
-    label = scratch.table(both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
+    table = scratch.table(both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
     for _ in range(most):
+        label = table.select("doc_id", "component")
         seen = both.join(label.withColumnRenamed("doc_id", "b"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("component").alias("near"))
         step = label.join(seen, "doc_id").select("doc_id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         up = label.select(F.col("doc_id").alias("component"), F.col("component").alias("above"))
-        step = scratch.table(step.join(up, "component", "left").select("doc_id", "old", F.least("component", "above").alias("component")))
-        old, label = label, step.select("doc_id", "component")
+        old, table = table, scratch.table(step.join(up, "component", "left").select("doc_id", "old", F.least("component", "above").alias("component")))
         scratch.drop(old)
-        if step.filter("component <> old").isEmpty():
+        if table.filter("component <> old").isEmpty():
             break
     else:
         raise RuntimeError("labels did not settle")
     scratch.drop(both)
-    return label
+    return table.select("doc_id", "component")
