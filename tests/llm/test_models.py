@@ -142,14 +142,13 @@ def test_encoder_equals_the_library():
 def test_shards(spark, tmp_path):
     from tokenizers import Tokenizer
 
-    texts = texts_for_tokens()[:400] + ["word " * 20_000]
+    texts = texts_for_tokens()[:400] + ["word " * 20_000, "a <|endoftext|> b", "one  <|endoftext|><|endoftext|>two <|endoftext"]
     rows = [(i * 3 - 500, t) for i, t in enumerate(texts)] + [(None, "x"), (None, None), (1, "one"), (1, "two"), (1, "two")]
     random.Random(3).shuffle(rows)
     docs = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, part string")
     tokens.write_shards(docs, str(tmp_path / "t"), tokenizer_path(), partitions=5, shard_ids=300)
     got = sorted(map(tuple, tokens.read_documents(spark, str(tmp_path / "t")).collect()), key=lambda r: r[1])
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     key = lambda r: (r[0] is None, r[0] or 0)
     assert [r[0] for r in got] == [r[0] for r in sorted(rows, key=key)]
     at = 0
@@ -162,10 +161,12 @@ def test_shards(spark, tmp_path):
         return (i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
 
     assert sorted(((r[0], r[2], r[3]) for r in got), key=str) == sorted((digest(*r) for r in rows), key=str)
-    blob = spark.read.parquet(str(tmp_path / "t")).orderBy("part", "shard").first()["blob"]
-    shard = tokens.Shard.unpack(bytes(blob))
     first = sorted(rows, key=key)[0]
-    assert shard.doc_ids[0] == first[0] and shard.span(0).tolist() == tok.encode(first[1] or "", add_special_tokens=False).ids + [0]
+    named = [r.file for r in spark.read.parquet(str(tmp_path / "t/manifest")).orderBy("part", "shard").collect()]
+    shard = tokens.Shard.open(f"file://{tmp_path}/t/data/{named[0]}")
+    assert shard.doc_id(0) == first[0] and shard.span(0).tolist() == tok.encode(first[1] or "", add_special_tokens=False).ids + [0]
+    (tmp_path / "t/data/000000-000000-999999.ids").write_bytes(b"of a lost task")
+    assert tokens.read_documents(spark, str(tmp_path / "t")).count() == len(rows)
     with pytest.raises(ValueError):
         tokens.Shard.unpack(b"something else")
 

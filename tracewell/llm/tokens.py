@@ -1,14 +1,18 @@
 """Token ids of documents in binary shards with Elias-Fano coded document boundaries.
 
-A shard is one byte string: a header, the document ids and the document ends as two
-Elias-Fano sequences, then all token ids as 16-bit (or 32-bit) integers. Shards travel as
-rows of a Parquet table, so that Spark's committer writes them on any file system and a
-lost task leaves nothing half-written. ``Shard`` reads one back; ``Shard.span`` finds one
-document's ids by two selects, without a table of 64-bit offsets.
+A shard is one file: a header, the document ids and the document ends as two Elias-Fano
+sequences with select samples, then all token ids as 16-bit (or 32-bit) integers.
+``Shard.open`` maps it (or reads it, where the store isn't a local folder), and
+``Shard.span`` finds one document's ids by two selects, without a table of 64-bit offsets.
+
+Files are named after the task attempt that wrote them, and only those count that the
+manifest names, a Parquet table which Spark's committer writes. So a lost or repeated task
+leaves files that nobody reads, and nothing half-written is read.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import struct
 import zlib
@@ -17,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,10 +94,17 @@ class EliasFano:
         return cls(n, base, width, *parts, np.frombuffer(raw, np.uint32, k, at)), at + 4 * k
 
 
+def _store(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it; the same on all machines."""
+    if "://" in path or path.startswith("file:"):
+        return pa.fs.FileSystem.from_uri(path)
+    return pa.fs.LocalFileSystem(), path
+
+
 class Shard:
     """Documents and their token ids."""
 
-    def __init__(self, doc_ids: np.ndarray, nulls: int, ends: EliasFano, ids: np.ndarray):
+    def __init__(self, doc_ids: EliasFano, nulls: int, ends: EliasFano, ids: np.ndarray):
         self.doc_ids, self.nulls, self.ends, self.ids = doc_ids, nulls, ends, ids
 
     @staticmethod
@@ -104,18 +116,40 @@ class Shard:
         return head + EliasFano.encode(known).to_bytes() + EliasFano.encode(np.cumsum(lengths)).to_bytes() + ids.astype(f"<u{kind}").tobytes()
 
     @classmethod
-    def unpack(cls, raw: bytes) -> Shard:
-        if raw[: len(MAGIC)] != MAGIC:
-            raise ValueError("not a shard of token ids")
-        kind, nulls, n = struct.unpack_from("<BQQ", raw, len(MAGIC))
+    def unpack(cls, raw: bytes | pa.Buffer) -> Shard:
         view = memoryview(raw)
+        if bytes(view[: len(MAGIC)]) != MAGIC:
+            raise ValueError("not a shard of token ids")
+        kind, nulls, n = struct.unpack_from("<BQQ", view, len(MAGIC))
         docs, at = EliasFano.from_bytes(view, len(MAGIC) + 17)
         ends, at = EliasFano.from_bytes(view, at)
-        return cls(docs.decode(), nulls, ends, np.frombuffer(view, f"<u{kind}", n, at))
+        return cls(docs, nulls, ends, np.frombuffer(view, f"<u{kind}", n, at))
+
+    @classmethod
+    def open(cls, path: str) -> Shard:
+        """A shard file; a local one is mapped, so only the pages that are asked for are read."""
+        store, at = _store(path)
+        if isinstance(store, pa.fs.LocalFileSystem):
+            with pa.memory_map(at) as f:
+                return cls.unpack(f.read_buffer())
+        with store.open_input_file(at) as f:
+            return cls.unpack(f.read_buffer())
+
+    def __len__(self) -> int:
+        return self.ends.n
+
+    def doc_id(self, i: int) -> int | None:
+        """The id of the i-th document; null ids are last."""
+        return self.doc_ids.select(i) if i < self.doc_ids.n else None
+
+    def bounds(self, i: int) -> tuple[int, int]:
+        """Where the ids of the i-th document begin and end."""
+        return self.ends.select(i - 1) if i else 0, self.ends.select(i)
 
     def span(self, i: int) -> np.ndarray:
         """The ids of the i-th document."""
-        return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
+        a, b = self.bounds(i)
+        return self.ids[a:b]
 
 
 def _after_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -133,8 +167,9 @@ class Encoder:
 
     Its first step never joins a character with a space after it unless it is white space
     itself, so a text in which no white space stands before a space can be cut at each
-    space. Any other text is one piece. Pieces are told apart by 64-bit hashes; all are
-    dropped when there are ``most`` or more.
+    space. Any other text is one piece, as is one that holds the literal of an added token
+    (which the library makes that token's id). Pieces are told apart by 64-bit hashes; all
+    are dropped when there are ``most`` or more.
     """
 
     def __init__(self, path: str, most: int = 3_000_000):
@@ -142,7 +177,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), most
-        self.tok.encode_special_tokens = True
+        self.literals = [str(t.content).encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.clear()
 
     @classmethod
@@ -197,6 +232,12 @@ class Encoder:
         inner = spaces > offsets[row]
         whole = np.zeros(len(offsets) - 1, dtype=bool)
         whole[row[inner & _after_space(padded, spaces + 3)]] = True
+        raw = data.tobytes()
+        for literal in self.literals:
+            at = raw.find(literal)
+            while at >= 0:
+                whole[np.searchsorted(offsets, at, side="right") - 1] = True
+                at = raw.find(literal, at + 1)
         begins = np.zeros(len(data) + 1, dtype=bool)
         begins[offsets[:-1]] = True
         begins[spaces[~whole[row]]] = True
@@ -207,7 +248,6 @@ class Encoder:
         number = self._find(h)
         new = np.flatnonzero(number < 0)
         if len(new):
-            raw = data.tobytes()
             a, b = starts[first[new]].tolist(), ends[first[new]].tolist()
             self._learn(h[new], [raw[x:y].decode() for x, y in zip(a, b)])
             number = self._find(h)
@@ -221,32 +261,34 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _write(path: str, end_id: int, shard_ids: int):
+def _write(path: str, out: str, end_id: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder.shared(path), TaskContext.get().partitionId()
+        encoder, task = Encoder.shared(path), TaskContext.get()
+        part = task.partitionId()
         docs: list[int | None] = []
         lengths: list[np.ndarray] = []
         ids: list[np.ndarray] = []
         shard = before = held = 0
 
         def flush() -> pa.RecordBatch:
-            n = np.concatenate(lengths)
-            blob = Shard.pack(docs, n, np.concatenate(ids))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x], pa.int64()) for x in (part, shard, before, len(docs), held)] + [pa.array([blob], pa.binary())],
-                names=["part", "shard", "before", "n_docs", "n_tokens", "blob"],
-            )
+            name = f"{part:06d}-{shard:06d}-{task.taskAttemptId()}.ids"
+            store, at = _store(f"{out}/{name}")
+            store.create_dir(at.rpartition("/")[0], recursive=True)
+            with store.open_output_stream(at) as f:
+                f.write(Shard.pack(docs, np.concatenate(lengths), np.concatenate(ids)))
+            row = [part, shard, before, len(docs), held]
+            return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in row), pa.array([name])], names=["part", "shard", "before", "n_docs", "n_tokens", "file"])
 
         for batch in slices(batches):
             got, n = encoder.encode(batch.column("text"))
-            out = np.full(len(got) + len(n), end_id, dtype=np.uint32)
-            keep = np.ones(len(out), dtype=bool)
+            with_end = np.full(len(got) + len(n), end_id, dtype=np.uint32)
+            keep = np.ones(len(with_end), dtype=bool)
             keep[np.cumsum(n + 1) - 1] = False
-            out[keep] = got
+            with_end[keep] = got
             docs += batch.column("doc_id").to_pylist()
             lengths.append(n + 1)
-            ids.append(out)
-            held += len(out)
+            ids.append(with_end)
+            held += len(with_end)
             if held >= shard_ids:
                 yield flush()
                 shard, before, held, docs, lengths, ids = shard + 1, before + held, 0, [], [], []
@@ -256,31 +298,37 @@ def _write(path: str, end_id: int, shard_ids: int):
     return run
 
 
-def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, partitions: int | None = None, shard_ids: int = 1 << 20) -> None:
-    """Encode docs (doc_id, text) and write shards of about ``shard_ids`` ids to the table at ``out``.
+def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, partitions: int | None = None, shard_ids: int = 1 << 20, partition_bytes: int = 64 << 20) -> None:
+    """Encode docs (doc_id, text) and write shards of about ``shard_ids`` ids to the folder ``out``, with a manifest.
 
     Documents go in ascending order of doc_id, null ids last; rows that repeat an id stand
     side by side, ordered by a hash of the text. A null text is empty: its end id alone.
+    ``out`` is a folder or URI that all executors reach. Without ``partitions``, there are as
+    many as the texts need for ``partition_bytes`` each, but no fewer than the session
+    shuffles into. A text is encoded whole, in one row, however long.
     """
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    size = lambda: rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size() / partition_bytes))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    rows.mapInArrow(_write(tokenizer, end_id, shard_ids), "part long, shard long, before long, n_docs long, n_tokens long, blob binary").write.mode("overwrite").parquet(out)
+    rows.mapInArrow(_write(tokenizer, f"{out}/data", end_id, shard_ids), "part long, shard long, before long, n_docs long, n_tokens long, file string").write.mode("overwrite").parquet(f"{out}/manifest")
 
 
-def _read(starts: dict[int, int]):
+def _read(data: str, starts: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, before, blob in zip(*(batch.column(c) for c in ("part", "before", "blob"))):
-                shard = Shard.unpack(blob.as_py())
-                ends = shard.ends.decode()
-                first = np.concatenate([[0], ends[:-1]])
-                crc = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(first, ends)]
-                docs = pa.concat_arrays([pa.array(shard.doc_ids, pa.int64()), pa.nulls(shard.nulls, pa.int64())])
+            for part, before, file in zip(*(batch.column(c).to_pylist() for c in ("part", "before", "file"))):
+                shard = Shard.open(f"{data}/{file}")
+                bounds = [shard.bounds(i) for i in range(len(shard))]
                 yield pa.RecordBatch.from_arrays(
-                    [docs, pa.array(first + (starts[part.as_py()] + before.as_py())), pa.array(ends - first), pa.array(crc, pa.int64())],
+                    [
+                        pa.array([shard.doc_id(i) for i in range(len(shard))], pa.int64()),
+                        pa.array([a + starts[part] + before for a, _ in bounds], pa.int64()),
+                        pa.array([b - a for a, b in bounds], pa.int64()),
+                        pa.array([zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in bounds], pa.int64()),
+                    ],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
@@ -289,9 +337,9 @@ def _read(starts: dict[int, int]):
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """From the shards at ``path``: doc_id, start (ids of all documents before), n_tokens, ids_crc32 (of the ids as 32-bit)."""
-    shards = spark.read.parquet(path)
+    shards = spark.read.parquet(f"{path}/manifest")
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()  # a row for each partition that was written
     starts, at = {}, 0
     for part, n in sorted((r.part, r.n) for r in totals):
         starts[part], at = at, at + n
-    return shards.select("part", "before", "blob").mapInArrow(_read(starts), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("part", "before", "file").mapInArrow(_read(f"{path}/data", starts), "doc_id long, start long, n_tokens long, ids_crc32 long")
