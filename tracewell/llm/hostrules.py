@@ -20,8 +20,8 @@ RULES = {
     "word_length": "n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words)",
 }
 BASE_RULES = ("short", "repeated")
-#: Strength of the prior if the hosts' rates don't differ by more than chance.
-MOST_PRIOR = 1e6
+#: Documents that the prior weighs at most, however alike the hosts are; beyond them a host's own decide.
+MOST_PRIOR = 50.0
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -56,41 +56,49 @@ def measures(docs: DataFrame) -> DataFrame:
     return out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_words", "_lines", "_grams", "_sorted", "_at")
 
 
-def shrunken_rates(counts: DataFrame, rule: str) -> Column:
-    """(failures + a) / (documents + a + b) of each host, with the beta prior a, b that the hosts' rates suggest.
+def verdict(rule: str, least: float, times: float, deviations: float) -> Column:
+    """Whether a host's shrunken rate of ``rule`` is over the bar that the other hosts set.
 
-    Moments over all hosts, weighted by documents: with mean m and the variance v that is
-    left beyond sampling, a + b = m (1 - m) / v - 1. ``counts`` has n and a column by rule.
+    The beta prior comes from the moments of the others, weighted by documents: with mean m
+    and the variance v that is left beyond sampling, a + b = m (1 - m) / v - 1. The rate is
+    (failures + a) / (documents + a + b); the bar is the largest of ``least``, ``times`` m,
+    and m plus ``deviations`` standard deviations of the prior. A host alone has no bar.
+    Sums over all hosts stand in _n, _hosts, _k_<rule> and _q_<rule> (failures squared by documents).
     """
-    rate = F.col(rule) / F.col("n")
-    row = counts.agg(F.sum("n").alias("n"), F.sum(rule).alias("k"), F.count("*").alias("hosts")).first()
-    if not row["n"] or row["k"] in (0, row["n"]):
-        return rate
-    m = row["k"] / row["n"]
-    spread = counts.agg((F.sum(F.col("n") * (rate - m) * (rate - m)) / row["n"]).alias("v")).first()["v"]
-    beyond = spread - m * (1 - m) * row["hosts"] / row["n"]
-    strength = min(MOST_PRIOR, max(1.0, m * (1 - m) / beyond - 1)) if beyond > 0 else MOST_PRIOR
-    return (F.col(rule) + F.lit(m * strength)) / (F.col("n") + F.lit(strength))
+    n, k = F.col("_n") - F.col("n"), F.col(f"_k_{rule}") - F.col(rule)
+    m = F.try_divide(k, n)
+    spread = F.try_divide(F.col(f"_q_{rule}") - F.try_divide(F.col(rule) * F.col(rule), F.col("n")), n) - m * m
+    beyond = spread - m * (1 - m) * F.try_divide(F.col("_hosts") - 1, n)
+    strength = F.when(beyond > 0, F.least(F.lit(MOST_PRIOR), F.greatest(F.lit(1.0), F.try_divide(m * (1 - m), beyond) - 1))).otherwise(F.lit(MOST_PRIOR))
+    rate = (F.col(rule) + m * strength) / (F.col("n") + strength)
+    bar = F.greatest(F.lit(least), times * m, m + deviations * F.sqrt(m * (1 - m) / (strength + 1)))
+    return F.coalesce(rate > bar, F.lit(False))
 
 
-def host_rules(docs: DataFrame, host: str = "source", most: float = 0.5) -> DataFrame:
+def host_rules(docs: DataFrame, host: str = "source", least: float = 0.2, times: float = 2.0, deviations: float = 3.0) -> DataFrame:
     """Measures and verdict of each row of docs (doc_id, text and the column ``host``).
 
-    A host is rejected if the shrunken failure rate of any rule is over ``most``. Returns
-    doc_id, host, the measures, base_failed, host_rejected and kept (neither of the two).
+    A host is rejected if for any rule its shrunken failure rate is over a bar (``verdict``)
+    that the other hosts' rates set. Returns doc_id, host, the measures, base_failed,
+    host_rejected and kept (neither of the two).
 
     A null or empty text has no words and fails. A null host is a host like others. Repeated
-    rows and rows without an id are judged each by itself. An empty table gives an empty result.
+    rows and rows without an id are judged each by itself. An empty table gives an empty
+    result. Windows of three words count as equal if their 64-bit hashes are. A text's words
+    are arrays of its row, so a text must stay well below the 2 GB that a row may have.
     """
     scratch = Scratch(docs.sparkSession)
     base = measures(docs.select("doc_id", F.col(host).cast("string").alias("host"), "text")).drop("text")
     base = scratch.table(base.withColumns({f"_{k}": F.expr(v) for k, v in RULES.items()}))
-    counts = base.groupBy("host").agg(F.count("*").alias("n"), *(F.sum(F.col(f"_{k}").cast("long")).alias(k) for k in RULES))
+    counts = base.groupBy("host").agg(F.count("*").alias("n"), *(F.sum(F.col(f"_{k}").cast("double")).alias(k) for k in RULES))
     counts = scratch.table(counts)
+    squares = (F.sum(F.col(k) * F.col(k) / F.col("n")).alias(f"_q_{k}") for k in RULES)
+    total = counts.agg(F.sum("n").alias("_n"), F.count("*").alias("_hosts"), *(F.sum(k).alias(f"_k_{k}") for k in RULES), *squares).first()
+    judged = counts.withColumns({k: F.lit(v) for k, v in total.asDict().items()})
     rejected = F.lit(False)
     for k in RULES:
-        rejected = rejected | (shrunken_rates(counts, k) > most)
-    verdicts = counts.select(F.col("host").alias("_host"), rejected.alias("host_rejected"))
+        rejected = rejected | verdict(k, least, times, deviations)
+    verdicts = judged.select(F.col("host").alias("_host"), rejected.alias("host_rejected"))
     out = base.join(verdicts, F.col("host").eqNullSafe(F.col("_host")))
     failed = F.greatest(*(F.col(f"_{k}") for k in BASE_RULES))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))

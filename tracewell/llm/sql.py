@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tracewell.llm.hostrules import BASE_RULES, MOST_PRIOR, RULES
-from tracewell.llm.licenses import LOWER, PHRASES, TEMPLATES, UPPER
+from tracewell.llm.licenses import LOWER, PHRASES, TEMPLATES, UPPER, reach_of
 
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _SMALL = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -21,20 +21,18 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
 
-def op2() -> str:
+def op2(least: float = 0.2, times: float = 2.0, deviations: float = 3.0) -> str:
     rules = ", ".join(f"({v}) AS f_{k}" for k, v in RULES.items())
     counts = ", ".join(f"sum(CASE WHEN f_{k} THEN 1 ELSE 0 END)::DOUBLE AS {k}" for k in RULES)
-    total = ", ".join(f"sum({k}) AS k_{k}, sum(n) AS all_n, count(*) AS hosts" if k == "short" else f"sum({k}) AS k_{k}" for k in RULES)
-    means = ", ".join(f"k_{k} / all_n AS m_{k}" for k in RULES)
-    spreads = ", ".join(f"sum(n * ({k} / n - m_{k}) * ({k} / n - m_{k})) / any_value(all_n) AS v_{k}" for k in RULES)
-    strengths = ", ".join(
-        f"CASE WHEN v_{k} - m_{k} * (1 - m_{k}) * hosts / all_n > 0 THEN least({MOST_PRIOR}, greatest(1.0, m_{k} * (1 - m_{k}) / (v_{k} - m_{k} * (1 - m_{k}) * hosts / all_n) - 1)) ELSE {MOST_PRIOR} END AS s_{k}" for k in RULES
-    )
-    rates = " OR ".join(f"CASE WHEN m_{k} IN (0, 1) THEN {k} / n ELSE ({k} + m_{k} * s_{k}) / (n + s_{k}) END > 0.5" for k in RULES)
+    others = ", ".join(f"sum({k}) OVER () - {k} AS k_{k}, sum({k} * {k} / n) OVER () - {k} * {k} / n AS q_{k}" for k in RULES)
+    means = ", ".join(f"k_{k} / nullif(o, 0) AS m_{k}, q_{k} / nullif(o, 0) AS s_{k}" for k in RULES)
+    beyond = ", ".join(f"s_{k} - m_{k} * m_{k} - m_{k} * (1 - m_{k}) * hosts / nullif(o, 0) AS v_{k}" for k in RULES)
+    priors = ", ".join(f"CASE WHEN v_{k} > 0 THEN least({MOST_PRIOR}, greatest(1.0, m_{k} * (1 - m_{k}) / v_{k} - 1)) ELSE {MOST_PRIOR} END AS p_{k}" for k in RULES)
+    bars = " OR ".join(f"coalesce(({k} + m_{k} * p_{k}) / (n + p_{k}) > greatest({least}, {times} * m_{k}, m_{k} + {deviations} * sqrt(m_{k} * (1 - m_{k}) / (p_{k} + 1))), false)" for k in RULES)
     failed = " OR ".join(f"f_{k}" for k in BASE_RULES)
     return rf"""
 WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
-g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram FROM t, range(1, 1000000) r(i) WHERE i <= len(ws) - 2),
+g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram FROM (SELECT *, unnest(range(1, len(ws) - 1)) AS i FROM t)),
 d AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS k FROM g) WHERE k > 1),
 c AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM d, range(3) r(o) GROUP BY 1),
 l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
@@ -42,18 +40,18 @@ b AS (SELECT doc_id, source, len(ws) AS n_words, length(array_to_string(ws, ''))
       len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM t JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
 f AS (SELECT *, {rules} FROM b),
 h AS (SELECT source, count(*) AS n, {counts} FROM f GROUP BY 1),
-a AS (SELECT {total} FROM h),
+a AS (SELECT *, sum(n) OVER () - n AS o, count(*) OVER () - 1 AS hosts, {others} FROM h),
 m AS (SELECT *, {means} FROM a),
-v AS (SELECT {spreads} FROM h, m),
-p AS (SELECT *, {strengths} FROM m, v),
-j AS (SELECT source, {rates} AS rejected FROM h, p)
+v AS (SELECT *, {beyond} FROM m),
+p AS (SELECT *, {priors} FROM v),
+j AS (SELECT source, {bars} AS rejected FROM p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, NOT ({failed}) AND NOT rejected AS kept
 FROM f JOIN j ON f.source IS NOT DISTINCT FROM j.source"""
 
 
 OP3 = f"""
 WITH t AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
-g AS (SELECT doc_id, i, array_to_string(ws[i : i + 49], ' ') AS gram FROM t, range(1, 1000000) r(i) WHERE i <= len(ws) - 49),
+g AS (SELECT doc_id, i, array_to_string(ws[i : i + 49], ' ') AS gram FROM (SELECT *, unnest(range(1, len(ws) - 48)) AS i FROM t)),
 d AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY gram) AS first FROM g) WHERE first < doc_id),
 p AS (SELECT doc_id, list(DISTINCT i + o) AS gone FROM d, range(50) r(o) GROUP BY 1),
 k AS (SELECT doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed, ws, coalesce(gone, []) AS gone FROM t LEFT JOIN p USING (doc_id)),
@@ -78,17 +76,17 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + least(size, greate
 def op10(threshold: float = 0.9) -> str:
     between = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     phrases = ", ".join(f"('{p}', '{label}')" for p, label in PHRASES.items())
-    templates = ", ".join(f"('{label}', list_distinct(string_split('{t}', ' ')))" for label, t in TEMPLATES.items())
-    split = "list_filter(regexp_split_to_array({x}, '" + between + "'), lambda x: x <> '')"
+    templates = ", ".join(f"('{label}', list_distinct(string_split('{t}', ' ')), {reach_of(len(set(t.split())))})" for label, t in TEMPLATES.items())
     return f"""
 WITH t AS (SELECT doc_id, {_SMALL} AS small FROM documents),
-w AS (SELECT doc_id, small, {split.format(x="small")} AS ws FROM t),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(small, '{between}'), lambda x: x <> '') AS ws FROM t),
 p(phrase, label) AS (VALUES {phrases}),
-h AS (SELECT doc_id, label, i - 1 AS place FROM w, p, range(1, 1000000) r(i) WHERE i <= len(ws) AND ws[i] = string_split(phrase, ' ')[1] AND ws[i : i + len(string_split(phrase, ' ')) - 1] = string_split(phrase, ' ')),
+i AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+h AS (SELECT doc_id, label, i - 1 AS place FROM i JOIN p ON word = string_split(phrase, ' ')[1] JOIN w USING (doc_id) WHERE ws[i : i + len(string_split(phrase, ' ')) - 1] = string_split(phrase, ' ')),
 b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM h GROUP BY 1),
-m(label, words) AS (VALUES {templates}),
-l AS (SELECT doc_id, {split.format(x="line")} AS have FROM (SELECT doc_id, unnest(string_split(small, chr(10))) AS line FROM t)),
-f AS (SELECT doc_id, label, len(list_intersect(words, have)) / len(words) AS share FROM l, m WHERE list_has_any(words, have)),
+m(label, words, reach) AS (VALUES {templates}),
+s AS (SELECT doc_id, ws, reach, unnest(range(0, len(ws), reach)) AS start FROM w, (SELECT DISTINCT reach FROM m)),
+f AS (SELECT doc_id, label, len(list_intersect(words, list_slice(ws, start + 1, start + 2 * reach))) / len(words) AS share FROM s JOIN m USING (reach)),
 g AS (SELECT doc_id, list(DISTINCT label) AS more, max(share) AS best FROM f WHERE share >= {threshold} - 1e-9 GROUP BY 1)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(labels), ','), '') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(more, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0) END::DOUBLE AS score
