@@ -11,7 +11,7 @@ import pytest
 
 from tracewell.llm import convnet, tokens, toxicity
 from tracewell.llm.queries import oracle_sql, queries, tokenizer_path
-from tracewell.llm.training import logistic_fit, sigmoid
+from tracewell.llm.training import labelled_sample, logistic_fit, sigmoid
 
 DATA = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
@@ -59,16 +59,58 @@ def test_scores_do_not_depend_on_the_batch():
 
 def test_ngram_score_is_a_plain_sum():
     rows = labelled(200, 3)
+    rows = [(i, t.replace("a", "é").replace("b", "日"), y) for i, t, y in rows]
     model = toxicity.NgramModel.fit([t.encode() for _, t, _ in rows], np.array([y for *_, y in rows], dtype=float), features=200)
     weight = {int(c): w for c, w in zip(model.codes, model.weights)}
-    for _, t, _ in rows[:30] + [(0, "ZZYX", 1)]:
-        b = (" " + t.lower() + " ").encode()
-        seen = {int.from_bytes(b[i : i + o], "little") for o in model.orders for i in range(len(b) - o + 1)}
+
+    def code(gram):
+        h = 0
+        for c in gram:
+            h = (h * 0xD6E8FEB86659FD93 + max(32, ord(c))) % 2**64
+        return h
+
+    for _, t, _ in rows[:30] + [(0, "ZZYX\tÉ", 1), (0, "", 0)]:
+        b = " " + "".join(c.lower() if c < "\x80" else c for c in t) + " "
+        seen = {code(b[i : i + o]) for o in model.orders for i in range(len(b) - o + 1)}
         want = sigmoid(np.array(model.bias + sum(weight.get(c, 0) for c in seen)))
         raw = t.encode()
         assert np.isclose(model.score(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0], want)
 
 
+def test_characters_of_broken_utf8():
+    raw = b"A\xffb\xc3" + "é".encode()
+    chars, ends = toxicity.characters(np.frombuffer(raw, np.uint8), np.array([0, 2, 4, 6]))
+    assert chars.tolist() == [32, 97, 0xFFFD, 32, 32, 98, 0xFFFD, 32, 32, 233, 32] and ends.tolist() == [4, 8, 11]
+
+
+def test_long_labelled_texts_teach(spark):
+    """Only texts longer than the sample's share hold what tells the labels apart, anywhere in them."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(1500)]
+        if i % 2:
+            for at in range(0, 1500, 8):
+                words[at] = "zzyxq"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame([*rows, (999, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(999, 1)], "doc_id long, toxic int")
+    out = toxicity.toxicity(docs, labels, chars=2000).filter("held_out and doc_id < 999").collect()
+    assert len(out) > 50 and sum(r.predicted == r.doc_id % 2 for r in out) / len(out) > 0.97
+    texts, y = labelled_sample(docs, labels, "toxic", 10_000, 2000)
+    assert len(texts) == 300 and y.sum() == 150 and max(map(len, texts)) <= 2031 and min(map(len, texts)) >= 1900
+
+
+@needs_data
+@pytest.mark.parametrize(("name", "label", "least"), [("op4_toxicity", "toxic", 0.95), ("op6_quality", "quality", 0.95)])
+def test_registered_classifiers_on_held_out_labels(spark, name, label, least):
+    out = queries()[name](spark, DATA)
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", label)
+    held = out.join(labels, "doc_id").filter(f"held_out and {label} is not null").collect()
+    assert out.count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
+    assert len(held) > 20 and sum(r.predicted == r[label] for r in held) / len(held) >= least
+
+
 def test_network_against_plain_convolution():
     rng = np.random.default_rng(1)
     net = convnet.ConvNet.fit([b"abc" * 40, b"xyz" * 200, b"q"], np.array([1.0, 0, 1]), steps=5)

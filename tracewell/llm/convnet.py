@@ -54,12 +54,19 @@ class ConvNet:
     last: np.ndarray
     bias: float
 
-    def _answers(self, rows: np.ndarray) -> np.ndarray:
-        seen = _windows(rows)
-        total = self.table[0][seen[:, :, 0]]
-        for k in range(1, WIDTH):
-            total += self.table[k][seen[:, :, k]]
-        return total
+    def _answers(self, rows: np.ndarray, tile: int = 32) -> np.ndarray:
+        """What each filter says at each place (n, places, FILTERS), in tiles that fit a core's cache."""
+        seen = _windows(rows) + np.arange(WIDTH) * 256
+        flat = self.table.reshape(-1, FILTERS)
+        out = np.empty((*seen.shape[:2], FILTERS), dtype=np.float32)
+        more = np.empty((tile * seen.shape[1], FILTERS), dtype=np.float32)
+        for i in range(0, len(rows), tile):
+            at, total = seen[i : i + tile].reshape(-1, WIDTH), out[i : i + tile].reshape(-1, FILTERS)
+            np.take(flat, at[:, 0], axis=0, out=total, mode="clip")
+            for k in range(1, WIDTH):
+                np.take(flat, at[:, k], axis=0, out=more[: len(at)], mode="clip")
+                total += more[: len(at)]
+        return out
 
     def maxima(self, rows: np.ndarray, tile: int = 256) -> np.ndarray:
         """Each block's maximum of each filter."""
@@ -130,16 +137,22 @@ class ConvNet:
             g = ((sigmoid(h @ p["out"]) - label) / len(docs)).astype(np.float32)
             dh = g[:, None] * p["out"] * (1 - h * h)
             dz = (dh @ p["dense"].T) * (z0 > 0)
-            grad = {"out": h.T @ g, "dense": z.T @ dh, "dense_shift": dh.sum(axis=0), "shift": dz.sum(axis=0), "table": np.zeros_like(p["table"])}
+            grad = {"out": h.T @ g, "dense": z.T @ dh, "dense_shift": dh.sum(axis=0), "shift": dz.sum(axis=0)}
             places = answers.shape[1] // 2
             seen = _windows(both)[(np.arange(len(docs)) * 2)[:, None] + top // places, top % places]  # (docs, FILTERS, WIDTH)
-            for k in range(WIDTH):
-                np.add.at(grad["table"][k], (seen[:, :, k], np.arange(FILTERS)[None, :]), dz)
+            spot = (np.arange(WIDTH) * 256 + seen) * FILTERS + np.arange(FILTERS)[None, :, None]
+            grad["table"] = np.bincount(spot.ravel(), np.repeat(dz.ravel(), WIDTH), p["table"].size).astype(np.float32).reshape(p["table"].shape)
             step = rate * min(1.0, 2 * (1 - t / steps) + 0.02)
             for name, value in p.items():
-                mean[name] += 0.1 * (grad[name] - mean[name])
-                square[name] += 0.005 * (grad[name] ** 2 - square[name])
-                value -= step * (mean[name] / (1 - 0.9**t) / (np.sqrt(square[name] / (1 - 0.995**t)) + 1e-6) + 1e-3 * value)
+                m, s, g = mean[name], square[name], grad[name]
+                m *= 0.9
+                m += 0.1 * g
+                s *= 0.995
+                s += 0.005 * (g * g)
+                root = np.sqrt(s * np.float32(1 / (1 - 0.995**t)))
+                root += 1e-6
+                value *= 1 - 1e-3 * step
+                value -= (step / (1 - 0.9**t)) * m / root
         x = cls.summary(*net.chunk_scores(rows, count)).astype(np.float64)
         m, sd = x.mean(axis=0), x.std(axis=0) + 1e-6
         w, b = logistic_fit((x - m) / sd, y, 1e-3, steps=400)
@@ -147,23 +160,23 @@ class ConvNet:
         return net
 
 
-def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", by: int = 5, held_out: int = 0, rows: int = 6000, longest: int = 20_000, at_least: float = 0.3) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", by: int = 5, held_out: int = 0, rows: int = 6000, chars: int = 20_000, at_least: float = 0.3) -> DataFrame:
     """Quality of each row of docs (doc_id, text; other columns are ignored).
 
     Labels (doc_id, ``label``) teach the network only where crc32(doc_id) modulo ``by`` isn't
-    ``held_out``; it learns from ``rows`` of them at most, with texts of at most ``longest``
-    characters. Returns doc_id, held_out, score (0 to 1) and predicted (score >= ``at_least``).
+    ``held_out``; it learns from ``rows`` of them at most, of any length (of a text longer than
+    ``chars`` characters, from seeded pieces from all over it). Returns doc_id, held_out, score (0 to 1) and predicted (score >= ``at_least``).
 
     Null and empty texts get the score of one block of zero bytes. Without labels of both
     kinds all scores are their share of good ones (0.5 without any). A null doc_id counts as
     remainder 0. Repeated rows are scored each by itself; an empty table gives an empty result.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = with_scores(base, quality_model(docs, labels, label, by, held_out, rows, longest))
+    out = with_scores(base, quality_model(docs, labels, label, by, held_out, rows, chars))
     return out.select("doc_id", (remainder(F.col("doc_id"), by) == held_out).alias("held_out"), "score", (F.col("score") >= at_least).cast("int").alias("predicted"))
 
 
-def quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality", by: int = 5, held_out: int = 0, rows: int = 6000, longest: int = 20_000) -> ConvNet:
+def quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality", by: int = 5, held_out: int = 0, rows: int = 6000, chars: int = 20_000) -> ConvNet:
     """The network of ``quality``, trained."""
     learn = labels.filter(remainder(F.col("doc_id"), by) != held_out)
-    return ConvNet.fit(*labelled_sample(docs, learn, label, rows, longest))
+    return ConvNet.fit(*labelled_sample(docs, learn, label, rows, chars))

@@ -11,27 +11,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.textops import CHUNK_BYTES, slices, text_bytes
+from tracewell.llm.textops import slices, text_bytes
 from tracewell.llm.training import constant, labelled_sample, logistic_fit, remainder, sigmoid
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_GAPS = np.arange(256, dtype=np.uint8)
-_GAPS[:33] = 32  # all white space and control characters are alike
-_FOLD = _GAPS[_LOWER]
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+#: Characters whose n-grams are hashed at once.
+TILE = 1 << 18
 #: Buckets of the first count, and of the filter before an exact look-up.
 BITS = 20
 
 
-def _codes(data: np.ndarray, order: int) -> np.ndarray:
-    """Each n-gram of folded bytes as one integer (n up to 8)."""
-    n = len(data) - order + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
-    eight = np.ndarray((n,), dtype="<u8", buffer=padded, strides=(1,))
-    return eight & np.uint64((1 << (8 * order)) - 1)
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 texts, A-Z lower-cased and all up to 32 alike, a space before and after each text; each text's end.
+
+    What isn't valid UTF-8 counts as replacement characters.
+    """
+    raw = data.tobytes()
+    try:
+        flat = np.frombuffer(raw.decode().encode("utf-32-le"), dtype="<u4")
+        begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    except UnicodeDecodeError:
+        texts = [raw[a:b].decode(errors="replace") for a, b in zip(offsets[:-1], offsets[1:])]
+        flat = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")
+        begins = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    size = np.diff(begins) + 2
+    ends = np.cumsum(size)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 32, dtype=np.uint32)
+    inner = np.ones(len(out), dtype=bool)
+    inner[ends - 1] = False
+    inner[ends - size] = False
+    folded = np.where((flat >= 65) & (flat <= 90), flat + 32, flat)
+    out[inner] = np.maximum(folded, 32)
+    return out, ends
+
+
+def codes_of(chars: np.ndarray, orders: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each n the 64-bit hashes of all n-grams of code points, each from those of n - 1."""
+    out = chars.astype(np.uint64)
+    for n in range(1, max(orders) + 1):
+        if n > 1:
+            out = out[:-1] * _BASE + chars[n - 1 :] if len(out) > 1 else out[:0]
+        if n in orders:
+            yield n, out
 
 
 def _bucket(codes: np.ndarray) -> np.ndarray:
@@ -40,7 +62,7 @@ def _bucket(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class NgramModel:
-    """Sorted n-gram codes, the weight of each one's presence, and a bias."""
+    """Sorted hashes of n-grams of characters, the weight of each one's presence, and a bias."""
 
     codes: np.ndarray
     weights: np.ndarray
@@ -58,11 +80,11 @@ class NgramModel:
         if fixed is not None:
             return cls(np.zeros(0, np.uint64), np.zeros(0), float(np.log((fixed + 1e-3) / (1 - fixed + 1e-3))), orders)
         counts = np.zeros((2, 1 << BITS), dtype=np.int32)
-        docs = [_FOLD[np.frombuffer(b" " + t + b" ", dtype=np.uint8)] for t in texts]
+        docs = [characters(np.frombuffer(t, dtype=np.uint8), np.array([0, len(t)]))[0] for t in texts]
         for d, label in zip(docs, y):
             seen = np.zeros(1 << BITS, dtype=bool)
-            for order in orders:
-                seen[_bucket(_codes(d, order))] = True
+            for _, codes in codes_of(d, orders):
+                seen[_bucket(codes)] = True
             counts[int(label)] += seen
         n1, n0 = float(y.sum()), float(len(y) - y.sum())
 
@@ -77,7 +99,7 @@ class NgramModel:
         chosen[np.argsort(-sure, kind="stable")[: 4 * features]] = True
         held: list[np.ndarray] = []
         for d in docs:
-            own = [c[chosen[_bucket(c)]] for c in (_codes(d, o) for o in orders)]
+            own = [c[chosen[_bucket(c)]] for _, c in codes_of(d, orders)]
             held.append(np.unique(np.concatenate(own)))
         codes, where = np.unique(np.concatenate(held), return_inverse=True)
         label = np.repeat(y, [len(x) for x in held])
@@ -101,20 +123,13 @@ class NgramModel:
         total = np.full(n, self.bias)
         if not len(self.codes):
             return sigmoid(total)
-        # A space before and after each text.
-        size = np.diff(offsets) + 2
-        ends = np.cumsum(size)
-        folded = np.full(int(ends[-1]), 32, dtype=np.uint8)
-        inner = np.ones(len(folded), dtype=bool)
-        inner[ends - 1] = False
-        inner[ends - size] = False
-        folded[inner] = _FOLD[data]
+        chars, ends = characters(data, offsets)
         filled = np.zeros(1 << BITS, dtype=bool)
         filled[_bucket(self.codes)] = True
-        pairs = []
-        for order in self.orders:
-            for at in range(0, len(folded), CHUNK_BYTES):
-                codes = _codes(folded[at : at + CHUNK_BYTES + order - 1], order)
+        pairs, longest = [], max(self.orders)
+        for at in range(0, len(chars), TILE):
+            for order, codes in codes_of(chars[at : at + TILE + longest - 1], self.orders):
+                codes = codes[:TILE]
                 hit = np.flatnonzero(filled[_bucket(codes)])
                 k = np.searchsorted(self.codes, codes[hit])
                 k[k == len(self.codes)] = 0
@@ -139,18 +154,18 @@ def with_scores(docs: DataFrame, model, column: str = "score") -> DataFrame:  #
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", by: int = 3, held_out: int = 1, rows: int = 8000, longest: int = 20_000, at_least: float = 0.7) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", by: int = 3, held_out: int = 1, rows: int = 8000, chars: int = 20_000, at_least: float = 0.7) -> DataFrame:
     """Toxicity of each row of docs (doc_id, text; other columns are ignored).
 
     Labels (doc_id, ``label``) teach the model only where crc32(doc_id) modulo ``by`` isn't
-    ``held_out``; it learns from ``rows`` of them at most, with texts of at most ``longest``
-    characters. Returns doc_id, held_out, score (0 to 1) and predicted (score >= ``at_least``).
+    ``held_out``; it learns from ``rows`` of them at most, of any length (of a text longer than
+    ``chars`` characters, from seeded pieces from all over it). Returns doc_id, held_out, score (0 to 1) and predicted (score >= ``at_least``).
 
     Null and empty texts get the score of a text without known n-grams. Without labels of
     both kinds all scores are their share of toxic ones (0.5 without any). A null doc_id counts
     as remainder 0. Repeated rows are scored each by itself; an empty table gives an empty result.
     """
     learn = labels.filter(remainder(F.col("doc_id"), by) != held_out)
-    model = NgramModel.fit(*labelled_sample(docs, learn, label, rows, longest))
+    model = NgramModel.fit(*labelled_sample(docs, learn, label, rows, chars))
     out = with_scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
     return out.select("doc_id", (remainder(F.col("doc_id"), by) == held_out).alias("held_out"), "score", (F.col("score") >= at_least).cast("int").alias("predicted"))

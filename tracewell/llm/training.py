@@ -14,17 +14,33 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % by, F.lit(0)).cast("int")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, longest: int, seed: int = 11) -> tuple[list[bytes], np.ndarray]:
-    """At most ``rows`` labelled texts of at most ``longest`` characters, whole, and their labels (0 or 1).
+#: Places that a long text's sample is taken from.
+PIECES = 32
 
-    Rows of ``labels`` (doc_id, ``label``) are taken in the order of a seeded hash; what goes
-    to the executors and comes back is bounded by ``rows`` and ``longest``. Null and other
-    labels are left out. Where labels repeat an id, the least label counts.
+
+def sampled_text(text: Column, doc_id: Column, chars: int, seed: int) -> Column:
+    """A text, or of one longer than ``chars`` characters seeded pieces from all over it, one for each of PIECES equal parts."""
+    size = chars // PIECES
+    n = F.length(text)
+    share = lambda i: F.pmod(F.xxhash64(doc_id, i, F.lit(seed)), F.lit(1000)) / 1000.0
+    part = n / PIECES
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substr(text, (F.floor(i * part + share(i) * (part - size)) + 1).cast("int"), F.lit(size)))
+    return F.when(n <= chars, text).otherwise(F.array_join(pieces, "\n"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int, seed: int = 11) -> tuple[list[bytes], np.ndarray]:
+    """At most ``rows`` labelled texts and their labels (0 or 1), each whole up to ``chars`` characters.
+
+    Rows of ``labels`` (doc_id, ``label``) are taken in the order of a seeded hash, whatever
+    their texts' length; of a longer text come seeded pieces from all over it. So what goes to
+    the executors and comes back is bounded by ``rows`` and ``chars``. Null and other labels
+    are left out. Where labels repeat an id, the least label counts.
     """
     picked = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
     picked = picked.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(rows)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text") <= longest)
-    got = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).toArrow()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null")
+    texts = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "y", sampled_text(F.col("text"), F.col("doc_id"), chars, seed).alias("text"))
+    got = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).toArrow()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
     raw = got["text"].to_pylist()
     return [raw[i].encode() for i in order], got["y"].to_numpy()[order].astype(np.float64)
