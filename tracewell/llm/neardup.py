@@ -33,6 +33,8 @@ from tracewell.llm.textops import Words, grams, lists, mix, slices
 BITS = 4
 ROWS = 5
 BANDS = 32
+#: Bits of the filter for texts that are compared; it has 8 MB, however many they are.
+MARKS = 26
 FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig array<long>"
 
 
@@ -114,9 +116,35 @@ def least_estimate(threshold: float, slack: float = 5.0) -> float:
     return threshold - slack * math.sqrt(p * (1 - p) / (BANDS * ROWS)) / (1 - chance)
 
 
-def _sets(k: int, lower: bool):
+def _spots(ids: np.ndarray) -> np.ndarray:
+    """A bit's place from 1 for each id."""
+    return ((mix(ids.view(np.uint64)) >> np.uint64(64 - MARKS)) + np.uint64(1)).view(np.int64)
+
+
+def _marks(ids: DataFrame) -> np.ndarray:
+    """A bitmap of 2^MARKS bits in which those of the ids (doc_id) are set, so of a fixed size at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_spots(batch.column("doc_id").to_numpy(zero_copy_only=False)))], names=["spot"])
+
+    rows = ids.mapInArrow(run, "spot long").groupBy(F.bitmap_bucket_number("spot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+    size = len(rows.sparkSession.range(1).select(F.bitmap_construct_agg(F.lit(0))).first()[0])
+    out = np.zeros(max(1, (1 << MARKS) // 8 // size) * size, dtype=np.uint8)
+    for r in rows.toLocalIterator():
+        at = (r["bucket"] - 1) * size
+        out[at : at + size] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
+def _sets(k: int, lower: bool, marks: np.ndarray):
+    """Shingle sets of the texts whose ids are marked, some others among them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
+            batch = batch.filter(batch.column("doc_id").is_valid())
+            spot = _spots(batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)) - 1
+            batch = batch.filter(pa.array((marks[spot >> 3] >> (spot & 7) & 1).astype(bool)))
             sets = shingle_sets(batch.column("text"), k, lower)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -256,6 +284,7 @@ def _block_pairs(members: DataFrame, scratch: Scratch, rows: int, size: int) ->
     spot = F.xxhash64("doc_id", "d1")
     at = F.when(outer, F.pmod(spot, "outer_blocks")).otherwise(F.col("outer_blocks") + F.pmod(spot, "inner_blocks")).cast("int")
     placed = members.join(plan, group).withColumn("at", at)
+    placed = placed.repartition(*group, "at")  # by all three, or a hot pivot's blocks would stay together
     blocks = placed.groupBy(*group, "at", "outer_blocks", "inner_blocks").agg(F.collect_list(F.struct("component", "n", "sig", "only")).alias("members"))
     blocks = scratch.table(blocks)
     partners = F.sequence(F.lit(0), F.when(F.col("at") < F.col("outer_blocks"), F.col("outer_blocks") + F.col("inner_blocks") - 1).otherwise(F.col("outer_blocks") - 1))
@@ -298,7 +327,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
     pairs = scratch.table(cand.join(pivots, "key").filter("doc_id <> pivot or d1 <> p1").select("doc_id", "d1", "pivot", "p1").distinct())
     scratch.drop(buckets, cand, fame, pivots)
     ids = pairs.select("doc_id").union(pairs.select("pivot")).distinct()
-    sets = scratch.table(base.join(ids, "doc_id", "left_semi").mapInArrow(_sets(shingle, lower), "doc_id long, d1 long, shingles binary").dropDuplicates(["doc_id", "d1"]))
+    # The texts to compare are found where they are, by a bitmap of their ids; what else it lets pass is joined with nothing.
+    sets = base.mapInArrow(_sets(shingle, lower, _marks(ids)), "doc_id long, d1 long, shingles binary")
+    twice = feats.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    sets = scratch.table(sets if twice.isEmpty() else sets.dropDuplicates(["doc_id", "d1"]))
     least = least_estimate(percent / 100)
     sigs = scratch.table(reps.join(ids, "doc_id", "left_semi").select("doc_id", "d1", "n", "sig"))
     as_pivot = lambda df: df.select(*(F.col(c).alias({"doc_id": "pivot", "d1": "p1"}.get(c, "pivot_" + c)) for c in df.columns))
