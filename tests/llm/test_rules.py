@@ -198,51 +198,116 @@ def test_urls(spark):
     assert urls.url_filter(spark.createDataFrame([], "page_id long, url string"), RULES).count() == 0
 
 
+def tree(pages, prior=0.25, weight=2.0, z=1.96):
+    """(template, share) of each (host, path) of pages (host, path, label), by a plain recursion over one host's paths."""
+    paths = collections.defaultdict(lambda: [0, 0])
+    for h, p, label in pages:
+        paths[h, p][0] += label is not None
+        paths[h, p][1] += label or 0
+    out = {}
+
+    def sums(items):
+        return sum(paths[i][0] for i, _ in items), sum(paths[i][1] for i, _ in items)
+
+    def alike(mine, everyone):
+        (n, k), (a, b) = mine, everyone
+        if not n or a == n:
+            return False
+        return abs(k / n - (b - k) / (a - n)) <= z * (b / a * (1 - b / a) * (1 / n + 1 / (a - n))) ** 0.5
+
+    def grow(items, template, prior):
+        kids = collections.defaultdict(list)
+        for i, segs in items:
+            kids["e" if not segs else "s*" if re.match(urls.VARIABLE, segs[0]) else "s" + segs[0]].append((i, segs))
+        on = sums([x for k, xs in kids.items() if k != "e" for x in xs])
+        apart = "s*" in kids and sums(kids["s*"])[0] and not alike(sums(kids["s*"]), on)
+        branches = collections.defaultdict(list)
+        for k, xs in kids.items():
+            merges = k != "e" and alike(sums(xs), on)
+            branches["s*" if k == "s*" else ("s*+" if apart else "s*") if merges else k] += xs
+        a, b = sums(items)
+        for name, xs in branches.items():
+            n, k = sums(xs)
+            beside = (b - k + weight * prior) / (a - n + weight)
+            here = template if name == "e" else template + "/" + name[1:]
+            if name == "e" or not n or len(xs) == 1:
+                for i, segs in xs:
+                    rest = ["*" if re.match(urls.VARIABLE, s) else s for s in segs[1:]]
+                    out[i] = (here + ("" if not rest else "/" + "/".join(rest) if len(xs) == 1 else "/**"), (k + weight * beside) / (n + weight))
+            else:
+                grow([(i, segs[1:]) for i, segs in xs], here, beside)
+
+    for host in {h for h, _ in paths}:
+        grow([((h, p), re.sub("^/+|/+$", "", p).split("/")) for h, p in paths if h == host], "", prior)
+    return out
+
+
+def judge(spark, pages, rules, *label):
+    return {r.page_id: r for r in urls.url_filter(spark.createDataFrame(pages, "page_id long, url string, label int"), rules, *label).collect()}
+
+
+def test_tree_against_recursion(spark):
+    rng = random.Random(11)
+    pages = []
+    for i in range(1500):
+        depth = rng.choice([0, 1, 2, 2, 3, 3, 4, 9])
+        segs = [rng.choice(["en", "de", "shop", "news", "a", "b", str(rng.randrange(50)), "0123abcdef"]) for _ in range(depth)]
+        path = "/" * (depth > 0 or rng.random() < 0.5) + "/".join(segs) + rng.choice(["", "", "/"])
+        bad = 0.9 if "shop" in segs else 0.5 if "a" in segs else 0.05
+        pages.append((i, f"http://{rng.choice(['x', 'y', 'x'])}.com{path}", int(rng.random() < bad) if rng.random() < 0.4 else None))
+    pages += [(5000, "http://lone.org/a/1/b", 1), (5001, "http://none.org/a/b", None), (5002, "http://none.org//a//b/", None)]
+    out = judge(spark, pages, {}, "label")
+    want = tree([(*judged(u)[:2], label) for _, u, label in pages])
+    assert len(out) == len(pages) and len({t for t, _ in want.values()}) > 50
+    for r in out.values():
+        template, share = want[r.host, r.path]
+        assert r.template == template and abs(r.bad_share - share) < 1e-9, (r, template, share)
+        assert r.verdict == ("block" if share > 0.5 else "allow")
+    assert {r.verdict for r in out.values()} == {"allow", "block"}
+
+
+def test_rules_label_the_pages_around_them(spark):
+    """As in the registered query: pages without a rule follow what rules say about their host, and hosts without any are allowed."""
+    pages = [(i, f"http://a.com/en/{i}", None) for i in range(20)] + [(100 + i, f"http://a.com/fr/{i}", None) for i in range(5)]
+    pages += [(200 + i, f"http://b.net/de/{i}/x", None) for i in range(20)] + [(300, "http://b.net/fr/1", None), (400, "http://c.info/fr/1", None)]
+    pages += [(500, "http://d.com/en/1", None), (501, "http://d.com/about", None)]
+    out = judge(spark, pages, RULES)
+    assert all(out[100 + i].rule is None and out[100 + i].verdict == "block" and out[100 + i].template == "/fr/**" for i in range(5))
+    assert out[300].verdict == out[400].verdict == "allow" and out[300].bad_share < 0.05 and out[400].bad_share == 0.25
+    assert out[501].bad_share == 0.5 and out[501].verdict == "allow"  # one blocked page is not enough
+
+
 def test_templates_and_purity(spark):
-    pages = [(i, f"http://h.com/shop/{i}/buy", 1) for i in range(50)] + [(100 + i, f"http://h.com/news/{i}/read", 0) for i in range(50)]
-    pages += [(200 + i, f"http://h.com/tag/name{i}", None) for i in range(30)] + [(300, "http://h.com/shop/999/buy", None), (301, "http://h.com/news/999/read", None), (302, "http://h.com/a/b/c/d/e/f/g/h", None), (303, "http://h.com", None)]
-    out = {r.page_id: r for r in urls.url_filter(spark.createDataFrame(pages, "page_id long, url string, label int"), {}, "label").collect()}
+    pages = [(i, f"http://h.com/shop/{i}/buy", 1) for i in range(50)] + [(100 + i, f"http://h.com/news/{i}/read", 0) for i in range(150)]
+    pages += [(300, "http://h.com/shop/999/buy/", None), (301, "http://h.com/news/999/read", None), (302, "http://h.com/new/b/c/d", None), (303, "http://h.com/new", None), (304, "http://h.com", None)]
+    out = judge(spark, pages, {}, "label")
     assert out[300].template == "/shop/*/buy" and out[300].verdict == "block" and out[300].bad_share > 0.9
     assert out[301].template == "/news/*/read" and out[301].verdict == "allow"
-    assert {out[200 + i].template for i in range(30)} == {"/tag/*"} and out[200].verdict == "allow"
-    assert out[302].template == "/a/b/c/d/e/f/**" and len(out) == len(pages)
+    assert out[302].template == "/new/**" and out[303].template == "/new" and 0.2 < out[302].bad_share < 0.3 and len(out) == len(pages)
 
 
 def test_alike_branches_merge(spark):
     pages = [(i, f"http://h.com/{'ab'[i % 2]}/x", int(i % 20 < 10)) for i in range(200)] + [(500 + i, "http://h.com/c/x", 1) for i in range(100)]
-    out = urls.url_filter(spark.createDataFrame(pages, "page_id long, url string, label int"), {}, "label")
-    assert {r.template for r in out.filter("page_id >= 500").collect()} == {"/c/x"}
-    plain = urls.url_filter(spark.createDataFrame(pages[:200], "page_id long, url string, label int"), {}, "label")
-    assert {r.template for r in plain.collect()} == {"/*/x"}
-
-
-def test_crowds_lend_no_labels(spark):
-    judge = lambda pages, rules, *label: {r.page_id: r for r in urls.url_filter(spark.createDataFrame(pages, "page_id long, url string, label int"), rules, *label).collect()}
-    for n in (19, 20, 40):  # one labelled segment, with 20, 21 and 41 in all
-        ruled = [(i, f"http://h.com/en/{i}", None) for i in range(9)] + [(100 + i, f"http://h.com/s{i}s/{i}", None) for i in range(n)]
-        out = judge(ruled, RULES)
-        assert all(r.verdict == ("block" if i < 100 else "allow") for i, r in out.items()), n
-        assert out[0].bad_share > 0.8 and out[100].bad_share == 0.25
-    # One spam section among 30 others; unlabelled siblings follow the many that are alike.
-    spam = [(i, f"http://h.com/spam/x{i}", 1) for i in range(30)] + [(100 + i, f"http://h.com/g{i % 30}g/x", 0) for i in range(300)] + [(500, "http://h.com/spam/new", None), (501, "http://h.com/new/x", None)]
-    out = judge(spam, {}, "label")
-    assert out[500].template.startswith("/spam/") and out[0].verdict == "block" and out[100].verdict == "allow"
-    assert out[501].template == "/*/x" == out[100].template and out[501].bad_share < 0.01
-    # Bad numbers and two bad names that are alike: a crowd without labels gets none of theirs.
-    few = [(i, f"http://h.com/{i}", 1) for i in range(30)] + [(100 + i, f"http://h.com/{'ab'[i % 2]}", 1) for i in range(20)] + [(200 + i, f"http://h.com/u{i}u", None) for i in range(30)]
-    out = judge(few, {}, "label")
-    assert out[0].template == out[100].template == "/*" and out[0].verdict == "block"
-    assert {(out[200 + i].template, out[200 + i].verdict) for i in range(30)} == {("/?", "allow")}
-
-
-def test_deep_branches_are_judged(spark):
+    assert {r.template for i, r in judge(spark, pages, {}, "label").items() if i >= 500} == {"/c/x"}
+    assert {r.template for r in judge(spark, pages[:200], {}, "label").values()} == {"/*/x"}
+    # Numbers that differ from names which are alike stay apart from them.
+    mixed = [(i, f"http://h.com/{i}/x", 1) for i in range(200)] + [(1000 + i, f"http://h.com/n{i % 4}n/x", int(i % 40 < 16)) for i in range(400)]
+    out = judge(spark, mixed, {}, "label")
+    assert out[0].template == "/*/x" and "/*/x" not in {out[1000 + i].template for i in range(4)}
+
+
+def test_many_and_deep_branches(spark):
+    """One spam section among any number of others, and branches that differ at the eighth segment."""
+    for n in (20, 21):
+        spam = [(i, f"http://h.com/spam/x{i}", 1) for i in range(30)] + [(100 + i, f"http://h.com/g{i % n}g/x", 0) for i in range(10 * n)] + [(5000, "http://h.com/spam/new", None), (5001, "http://h.com/new/x", None)]
+        out = judge(spark, spam, {}, "label")
+        assert out[5000].template.startswith("/spam/") and out[5000].verdict == "block" and out[100].verdict == "allow", n
+        assert out[5001].template == "/new/x" and out[5001].verdict == "allow", n
     deep = "http://h.com/a/b/c/d/e/f"
     pages = [(100 * k + i, f"{deep}/g/{end}/{i}", int(end == "bad")) for k, end in enumerate(["bad", "good", "fine", "well"]) for i in range(40)]
-    pages += [(900, f"{deep}/g/bad/999", None), (901, f"{deep}/g/good/999", None), (902, "http://h2.com/a/b/c/d/e/f/z/y/1", 1), (903, f"{deep}/q/1", None), (904, f"{deep}/q/2/x", None)]
-    out = {r.page_id: r for r in urls.url_filter(spark.createDataFrame(pages, "page_id long, url string, label int"), {}, "label").collect()}
-    assert len(out) == len(pages) and out[900].verdict == "block" and out[901].verdict == "allow"
+    out = judge(spark, [*pages, (900, f"{deep}/g/bad/999", None), (901, f"{deep}/g/good/999", None), (903, f"{deep}/q/1", None), (904, f"{deep}/q/2/x", None)], {}, "label")
+    assert out[900].verdict == "block" and out[901].verdict == "allow" and out[904].template == "/a/b/c/d/e/f/q/**"
     assert out[900].template == "/a/b/c/d/e/f/g/bad/*" == out[0].template and out[900].bad_share > 0.9 and out[901].bad_share < 0.1
-    assert out[902].template == "/a/b/c/d/e/f/z/y/*" and out[904].template == "/a/b/c/d/e/f/q/**" and out[904].bad_share == 0.25
 
 
 def fill(weights, caps, total):
