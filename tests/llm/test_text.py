@@ -303,15 +303,55 @@ def test_decontamination_recall(spark):
     assert decontaminate.leaks(frame(spark, []), bench).count() == 0 and decontaminate.leaks(frame(spark, pairs), bench.limit(0)).count() == 0
 
 
+def test_all_documents_with_all_items(spark):
+    """What the best passages of all pairs say, found or not, for edits up to and beyond the limit, and items of any size."""
+    rng = random.Random(12)
+    items = [(i, sentence(rng, n, 300)) for i, n in enumerate([1, 2, 3, 4, 5, 7, 8, 11, 12, 15, 16, 25, 40, 60])] + [(99, "w1 w2 " * 15)]
+    pairs = []
+    for d in range(240):
+        words = sentence(rng, rng.randrange(0, 80), 300).split()
+        w = items[d % len(items)][1].split()
+        for _ in range(rng.randint(0, max(1, len(w) // 4))):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.choice([0, 1])] = rng.choice([[], ["w%d" % rng.randrange(300)]])
+        at = rng.randrange(len(words) + 1)
+        pairs.append((d, " ".join(words[:at] + w + words[at:])))
+    pairs += [(1000, "w1 " * 3000), (1001, "w1 w2 " * 2000)]
+    number = {}
+    code = lambda t: np.array([number.setdefault(w, len(number)) for w in t.split()], dtype=np.uint64)
+    want = {}
+    for d, t in pairs:
+        for i, item in items:
+            least = decontaminate.best_match(code(item), code(t))[0]
+            if least <= len(item.split()) // 5:
+                want[d, i] = least
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.leaks(frame(spark, pairs), bench).collect()}
+    assert set(got) <= set(want) and len(set(want) - set(got)) <= len(want) // 500
+    assert all(want[x] == e for x, e in got.items())
+
+
+def test_crowded_keys_are_halved(monkeypatch):
+    """The result doesn't depend on how much is counted at once."""
+    rng = random.Random(13)
+    texts = [sentence(rng, 40, 30) for _ in range(30)]
+    words = Words(pa.array([sentence(rng, 300, 30) for _ in range(10)] + [" ".join(rng.sample(texts, 3)) for _ in range(20)]))
+    bench = decontaminate.Benchmark(list(range(30)), texts, 0.2, 48, 3, 2)
+    whole = bench.search(words.hashes(), words.bounds)
+    monkeypatch.setattr(decontaminate, "MOST", 500)
+    monkeypatch.setattr(decontaminate, "STRETCH", 700)
+    assert bench.search(words.hashes(), words.bounds) == whole and sum(map(len, whole)) >= 60
+
+
 def test_walk_keeps_near_sequences_near():
     rng = np.random.default_rng(5)
     x = rng.integers(0, 1 << 60, (200, 40)).astype(np.uint64)
     y = np.concatenate([x[:, :10], x[:, 11:], x[:, :1]], axis=1)  # one word gone, one more at the end
     z = rng.integers(0, 1 << 60, (200, 40)).astype(np.uint64)
-    n = np.full(200, 40)
-    e = [decontaminate.cgk(s, n, 1, 80, 3)[:, 0] for s in (x, y, z)]
-    assert (e[0] == e[1]).mean() > 0.7 and (e[0] == e[2]).mean() < 0.1
-    assert decontaminate.repeats_for(3, 0.5, 0.999) == 52
+    draws = rng.integers(0, 1 << 62, 38, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    e = [decontaminate.walk(decontaminate._codes(np.append(s.ravel(), np.zeros(40, np.uint64))), np.arange(200) * 40, draws) for s in (x, y, z)]
+    assert (e[0] == e[1]).mean() > 0.6 and (e[0] == e[2]).mean() < 0.1
+    assert decontaminate.enough_of(52, 3, 0.5, 0.999) == 1 and decontaminate.enough_of(5, 3, 0.5, 0.999) == 0
 
 
 def test_hash_of_kept_text(spark):

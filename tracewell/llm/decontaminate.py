@@ -1,21 +1,25 @@
 """Benchmark items inside documents, by CGK embedding, bit-sampling LSH and exact edit distance of words.
 
-The CGK random walk copies a word sequence into one of three times its length: at each step
-it emits the current word and goes on to the next one if a random bit of step and word says
-so. Sequences at a small edit distance fall into step again after each edit, so few of the
-emitted words differ. Keys made of few sampled steps therefore collide with a known chance;
-the walk and the sample are drawn anew often enough to reach the target recall. Windows as
-long as an item that collide with it are verified by their edit distance.
-
-Where an item of n words is met with at most k edits, the passage shares at least
-n - q + 1 - k q of the item's q-word runs, each on a diagonal at most k from the others.
-Only windows where that may hold are embedded; it excludes none within the edit limit.
+The CGK random walk copies a word sequence into a longer one: at each step it emits the
+current word and goes on to the next one if a random bit of step and word says so. Sequences
+at a small edit distance fall into step again after each edit, so few of the emitted words
+differ, and keys made of few sampled steps collide with a known chance. Repeats draw walk and
+sample anew, often enough to reach the target recall.
+
+Every repeat begins its walk at another share of the item (its first ``STEPS`` steps are
+sampled), so samples lie all over the item. The walk from a place of a text is the same for
+all windows that have the place there, whatever their size, so one walk embeds the windows
+of all item sizes at once; it is dropped as soon as no item's walk begins like it. A window,
+as long as the item, is a candidate if enough repeats give it the item's key: as many as
+chance gives to all but 1 - recall of those that are to be found. Candidates that hold
+enough of the item's words are verified by their edit distance.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,51 +27,81 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.textops import Words, grams, mix, slices
+from tracewell.llm.textops import Words, mix, slices
 
 LEAKS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("item_id", "start", "n_words", "edits")]))
-_END = np.uint64(0x5851F42D4C957F2D)
-BITS = 22
+#: Steps of a walk that are sampled; fewer for items of less than half as many words more.
+STEPS = 12
+#: Bits of the filters for first words and first parts of keys.
+BITS = 16
+#: Collisions that are counted at once, and words whose windows are looked at together.
+MOST, STRETCH = 1 << 21, 1 << 16
+_C = np.uint64(0x9E3779B97F4A7C15)
+_TOP = np.uint64(64 - BITS)
 
 
-def cgk(x: np.ndarray, lengths: np.ndarray, repeats: int, steps: int, seed: int) -> np.ndarray:
-    """The first ``steps`` steps (steps, repeats, rows) of the embeddings of word sequences.
+def _codes(h: np.ndarray) -> np.ndarray:
+    """Word hashes, folded so that a product's top bit depends on all of them."""
+    return h ^ (h >> np.uint64(29))
 
-    A sequence is a row of ``x`` as far as its entry of ``lengths``, then end signs. Each
-    repeat has a random walk of its own.
-    """
-    rows, n = x.shape
-    ended = np.concatenate([x, np.full((rows, 1), _END)], axis=1)
-    ended[np.arange(n + 1)[None, :] >= lengths[:, None]] = _END
-    flat, base = ended.ravel(), np.arange(rows) * (n + 1)
-    at = np.zeros((repeats, rows), dtype=np.int64)
-    out = np.empty((steps, repeats, rows), dtype=np.uint64)
-    draws = mix(np.arange(1, steps * repeats + 1, dtype=np.uint64) + np.uint64(seed << 32)).reshape(steps, repeats, 1) | np.uint64(1)
-    for j in range(steps):
-        out[j] = flat[base + at]
-        bit = ((out[j] ^ (out[j] >> np.uint64(29))) * draws[j]) >> np.uint64(63)
-        at += bit.astype(np.int64)
-        np.minimum(at, n, out=at)
+
+def walk(codes: np.ndarray, at: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """The word codes (steps, places) that CGK walks from ``at`` emit; an odd number for each step draws the bits. Codes go on past the walks' ends."""
+    out, at = np.empty((len(draws) + 1, len(at)), dtype=np.uint64), at.copy()
+    for j, draw in enumerate(draws):
+        out[j] = codes[at]
+        at += ((out[j] * draw) >> np.uint64(63)).astype(np.int64)
+    out[-1] = codes[at]
     return out
 
 
-def keys_of(x: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, repeats: int, samples: int, seed: int) -> np.ndarray:
-    """(repeats, rows) keys of sequences that are compared with items of ``sizes`` words.
+@dataclass
+class Repeat:
+    """One draw of walk and sample, and the items' keys by it, in order."""
 
-    Each repeat samples its own steps, at the same shares of the walk for every size. A
-    word takes about two steps, so samples come from the first 2 * size of the 3 * size.
-    """
-    out = np.empty((repeats, len(x)), dtype=np.uint64)
-    places = np.random.default_rng(seed).random((samples, repeats, 1))
-    for i in range(0, len(x), 512):
-        size = sizes[i : i + 512]
-        e = cgk(x[i : i + 512], lengths[i : i + 512], repeats, 2 * int(size.max()), seed)
-        key = mix(np.arange(1, repeats + 1, dtype=np.uint64)[:, None] ^ (size.astype(np.uint64) << np.uint64(20)))
-        for u in places:
-            step = (u * 2 * size).astype(np.int64)
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.take_along_axis(e, step[None], axis=0)[0])
-        out[:, i : i + 512] = key
-    return out
+    draws: np.ndarray
+    sample: list[int]
+    salt: np.uint64
+    first: np.ndarray
+    second: np.ndarray
+    keys: np.ndarray
+    items: np.ndarray
+    offsets: np.ndarray
+
+    @classmethod
+    def draw(cls, rng: np.random.Generator, steps: int, samples: int, codes: np.ndarray, begin: np.ndarray, n: np.ndarray, items: np.ndarray) -> Repeat:
+        draws = rng.integers(0, 1 << 63, steps - 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        # Steps near each other often emit the same word, so samples keep a distance.
+        parts = np.linspace(0, steps, min(samples, steps) + 1)
+        sample = [0, *((a + b + rng.random() * (b - a)) // 2 for a, b in zip(parts[1:-1], parts[2:]))]
+        sample = sorted({int(j) for j in sample})
+        salt = rng.integers(0, 1 << 63, dtype=np.uint64)
+        offset = (rng.random() * (n - steps + 1)).astype(np.int64)
+        emitted = walk(codes, begin + offset, draws)
+        key, keys = np.full(len(n), salt), []
+        for j in sample:
+            key = mix(key * _C + emitted[j])
+            keys.append(key)
+        order = np.argsort(key, kind="stable")
+        first, second = (np.zeros(1 << BITS, dtype=bool) for _ in "fs")
+        first[emitted[0] >> _TOP] = True
+        second[keys[min(1, len(keys) - 1)] >> _TOP] = True
+        return cls(draws, sample, salt, first, second, key[order], items[order], offset[order])
+
+    def collisions(self, codes: np.ndarray, top: np.ndarray, a: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places from ``a`` on, for which ``top`` has the codes' top bits, whose walks share a key with items, and the keys' range in ``keys``."""
+        place = np.flatnonzero(self.first[top]) + a
+        at, now, key = place, 0, np.full(len(place), self.salt)
+        for i, j in enumerate(self.sample):
+            for step in range(now, j):
+                at = at + ((codes[at] * self.draws[step]) >> np.uint64(63)).astype(np.int64)
+            key, now = mix(key * _C + codes[at]), j
+            if i == min(1, len(self.sample) - 1):
+                keep = np.flatnonzero(self.second[key >> _TOP])
+                place, at, key = place[keep], at[keep], key[keep]
+        lo, hi = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, side="right")
+        hit = np.flatnonzero(hi > lo)
+        return place[hit], lo[hit], hi[hit]
 
 
 def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -89,114 +123,115 @@ def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 class Benchmark:
     """A block of items, prepared for the search."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], share: float, repeats: int, samples: int, seed: int = 5):
+    def __init__(self, ids: list[int], texts: list[str | None], share: float, repeats: int, samples: int, enough: int, seed: int = 5):
         words = Words(pa.array(texts, pa.string()), lower=True)
         h = words.hashes()
-        held = [(i, h[a:b]) for i, a, b in zip(ids, words.bounds[:-1], words.bounds[1:]) if b > a]
-        self.ids = np.array([i for i, _ in held], dtype=np.int64)
-        self.words = [w for _, w in held]
-        self.repeats, self.samples, self.seed = repeats, samples, seed
+        same: dict[bytes, list[int]] = {}
+        for i, a, b in zip(ids, words.bounds[:-1], words.bounds[1:]):
+            if b > a:
+                same.setdefault(h[a:b].tobytes(), []).append(i)
+        self.ids = list(same.values())  # items of equal words are one
+        self.words = [np.frombuffer(w, dtype=np.uint64) for w in same]
         self.n = np.array([len(w) for w in self.words], dtype=np.int64)
         self.k = np.floor(share * self.n + 1e-9).astype(np.int64)
-        # The longest run that k edits must leave whole, three words at most.
-        self.q = np.minimum(3, -(-(self.n - self.k) // (self.k + 1)))
-        self.need = np.maximum(1, self.n - self.q + 1 - self.k * self.q)
-        self.postings = {}
-        for q in np.unique(self.q):
-            mine = np.flatnonzero(self.q == q)
-            g = [grams(self.words[i], int(q)) for i in mine]
-            size = [len(x) for x in g]
-            gram, item, place = np.concatenate(g), np.repeat(mine, size), np.concatenate([np.arange(s) for s in size])
-            order = np.argsort(gram, kind="stable")
-            seen = np.zeros(1 << BITS, dtype=bool)
-            seen[gram >> np.uint64(64 - BITS)] = True
-            self.postings[int(q)] = (gram[order], item[order], place[order], seen)
-        if len(self.n):
-            x = np.zeros((len(self.n), int(self.n.max())), dtype=np.uint64)
-            for i, w in enumerate(self.words):
-                x[i, : len(w)] = w
-            keys = keys_of(x, self.n, self.n, repeats, samples, seed).ravel()
-            self.order = np.argsort(keys, kind="stable")
-            self.keys = keys[self.order]
-            self.order %= len(self.n)
-
-    def windows(self, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(doc, item, start) of the windows that may hold an item, by runs of words in common."""
-        docs, items, places, offsets = [], [], [], []
-        for q, (gram, item, place, seen) in self.postings.items():
-            g = grams(h, q)
-            hit = np.flatnonzero(seen[g >> np.uint64(64 - BITS)])
-            lo, hi = np.searchsorted(gram, g[hit]), np.searchsorted(gram, g[hit], side="right")
-            hit, lo, n = hit[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            doc = np.searchsorted(bounds, hit, side="right") - 1
-            whole = hit + q <= bounds[doc + 1]
-            hit, lo, n, doc = hit[whole], lo[whole], n[whole], doc[whole]
-            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            docs.append(np.repeat(doc, n)), items.append(item[at]), places.append(np.repeat(hit, n) - place[at]), offsets.append(place[at])
-        doc, item, diagonal, offset = (np.concatenate(x) for x in (docs, items, places, offsets))
-        group = doc * len(self.n) + item
-        # Different runs of the item that lie within 2 k diagonals of each other.
-        order = np.lexsort((diagonal, group))
-        group, diagonal, offset = group[order], diagonal[order], offset[order]
-        reach = 2 * self.k[group % len(self.n)]
-        wide = np.int64(4) * (np.int64(len(h)) + np.int64(self.n.max()) + 4)
-        line = group * wide + diagonal + wide // 4
-        last = np.searchsorted(line, line + reach, side="right")
-        first = np.searchsorted(line, line - reach, side="left")
-        enough = last - first >= self.need[group % len(self.n)]
-        group, diagonal = np.divmod(np.unique(line[enough]), wide)
-        doc, item = np.divmod(group, len(self.n))
-        return doc, item, diagonal - wide // 4
+        codes, first = _codes(np.concatenate([*self.words, np.zeros(STEPS, np.uint64)])), np.cumsum(self.n) - self.n
+        rng = np.random.default_rng(seed)
+        # Walks are shorter than their item by a third at least, so they begin at different words.
+        steps = np.max([np.where(2 * self.n >= 3 * t, t, 1) for t in (STEPS, 8, 4, 2)], axis=0)
+        self.repeats, self.enough = [], np.ones(len(self.n), dtype=np.int64)
+        for t in np.unique(steps):
+            mine = np.flatnonzero(steps == t)
+            draws = repeats if self.k[mine].any() else 1  # items without edits have equal walks, so one repeat finds them
+            self.enough[mine] = enough if draws > 1 else 1
+            self.repeats += [Repeat.draw(rng, int(t), samples, codes, first[mine], self.n[mine], mine) for _ in range(draws)]
+
+    def windows(self, codes: np.ndarray, bounds: np.ndarray, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(doc, item, start) of the candidates that begin at places from ``a`` (0: or before) to ``b``; in halves where too much collides."""
+        end = min(int(bounds[-1]), b + int((self.n + 2 * self.k).max()))
+        top = (codes[a:end] >> _TOP).astype(np.int64)
+        met = [(r, *r.collisions(codes, top, a)) for r in self.repeats]
+        if sum(int((hi - lo).sum()) for _, _, lo, hi in met) > MOST and b - a > 1:
+            yield from self.windows(codes, bounds, a, (a + b) // 2)
+            yield from self.windows(codes, bounds, (a + b) // 2, b)
+            return
+        items, starts, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for r, place, lo, hi in met:
+            n = hi - lo
+            each = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            items.append(r.items[each])
+            starts.append(np.repeat(place, n) - r.offsets[each])
+            docs.append(np.repeat(np.searchsorted(bounds, place, side="right") - 1, n))
+        item, start, doc = np.concatenate(items), np.concatenate(starts), np.concatenate(docs)
+        # A number that puts windows in order of text, item and place; those of one item that begin within 2 k of each other count together.
+        wide = np.int64(2) * (np.int64(bounds[-1]) + np.int64(self.n.max()) + 2 * np.int64(self.k.max(initial=0)) + 2)
+        group = (doc - (doc.min() if len(doc) else 0)) * len(self.n) + item
+        order = np.lexsort((start, group))
+        group, item, start, doc = group[order], item[order], start[order], doc[order]
+        _, dense = np.unique(group, return_inverse=True)
+        line, reach = dense * wide + start + self.n.max(), 2 * self.k[item]
+        near = np.searchsorted(line, line + reach, side="right") - np.searchsorted(line, line - reach, side="left")
+        keep = np.flatnonzero((near >= self.enough[item]) & (start < b) & ((start >= a) | (a == 0)))
+        yield doc[keep], item[keep], start[keep]
 
     def search(self, h: np.ndarray, bounds: np.ndarray) -> list[list[dict[str, int]]]:
         """The items in each text, with the place, length and edits of the best passage."""
         out: list[list[dict[str, int]]] = [[] for _ in range(len(bounds) - 1)]
         if not len(self.n) or not len(h):
             return out
-        doc, item, start = self.windows(h, bounds)
-        begin, end = bounds[doc], bounds[doc + 1]
-        start = np.clip(start, begin, np.maximum(begin, end - 1))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        d, s, n = np.unique(np.stack([doc, start, self.n[item]]), axis=1)
-        if not len(d):
-            return out
-        x = h[np.minimum(s[:, None] + np.arange(int(n.max())), len(h) - 1)]
-        own = keys_of(x, np.minimum(n, bounds[d + 1] - s), n, self.repeats, self.samples, self.seed).ravel()
-        lo, hi = np.searchsorted(self.keys, own), np.searchsorted(self.keys, own, side="right")
-        hit = np.flatnonzero(hi > lo)
-        size = (hi - lo)[hit]
-        at = np.repeat(lo[hit] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        pairs = np.unique(np.stack([np.repeat(hit % len(d), size), self.order[at]]), axis=1)
-        for w, j in pairs.T.tolist():
-            a, b, k = int(bounds[d[w]]), int(bounds[d[w] + 1]), int(self.k[j])
-            x0, x1 = max(a, int(s[w]) - 2 * k), min(b, int(s[w]) + int(n[w]) + 2 * k)
-            edits, p, e = best_match(self.words[j], h[x0:x1])
-            if edits <= k:
-                found = (edits, x0 + p - a, e - p)
-                key = (int(d[w]), j)
-                best[key] = min(best.get(key, found), found)
+        codes = _codes(np.concatenate([h, np.zeros(STEPS, dtype=np.uint64)]))
+        for doc, item, start in (w for a in range(0, len(h), STRETCH) for w in self.windows(codes, bounds, a, min(a + STRETCH, len(h)))):
+            if not len(doc):
+                continue
+            # Windows of an item that begin near each other are looked at together.
+            k = self.k[item]
+            fresh = np.ones(len(doc), dtype=bool)
+            fresh[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] > start[:-1] + self.n[item[1:]] + 2 * k[1:])
+            begin = np.flatnonzero(fresh)
+            last = np.append(begin[1:], len(doc)) - 1
+            lo = np.maximum(bounds[doc[begin]], start[begin] - 2 * k[begin])
+            hi = np.minimum(bounds[doc[begin] + 1], start[last] + self.n[item[begin]] + 2 * k[begin])
+            for d, j, a, b in zip(doc[begin].tolist(), item[begin].tolist(), lo.tolist(), hi.tolist()):
+                most = int(self.k[j])
+                # Each of an item's words that the part lacks is an edit at least.
+                if int((~np.isin(self.words[j], h[a:b])).sum()) > most:
+                    continue
+                edits, p, e = best_match(self.words[j], h[a:b])
+                if edits <= most:
+                    found = (edits, a + p - int(bounds[d]), e - p)
+                    best[d, j] = min(best.get((d, j), found), found)
         for (d, j), (edits, p, size) in sorted(best.items()):
-            out[d].append({"item_id": int(self.ids[j]), "start": p, "n_words": size, "edits": edits})
-        return out
+            out[d] += [{"item_id": int(i), "start": p, "n_words": size, "edits": edits} for i in self.ids[j]]
+        return [sorted(x, key=lambda leak: leak["item_id"]) for x in out]
 
 
-def repeats_for(samples: int, agree: float, recall: float) -> int:
-    """How many repeats reach ``recall`` if each sampled step agrees with chance ``agree``."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - agree**samples))
+def enough_of(repeats: int, samples: int, agree: float, recall: float) -> int:
+    """The most collisions that a window to be found has with chance ``recall``, if each sampled step agrees with chance ``agree``; 0 if not even one."""
+    p, missed, enough = agree**samples, 0.0, 0
+    for m in range(repeats):
+        missed += math.comb(repeats, m) * p**m * (1 - p) ** (repeats - m)
+        if missed > 1 - recall:
+            break
+        enough = m + 1
+    return enough
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks", share: float = 0.2, samples: int = 3, agree: float = 0.5, recall: float = 0.999, block_words: int = 1_000_000) -> DataFrame:
+def with_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks", share: float = 0.2, samples: int = 3, agree: float = 0.6, recall: float = 0.999, repeats: int = 48, block_words: int = 1_000_000) -> DataFrame:
     """All of docs (with text) and the benchmark items (item_id, text) that each row's text holds.
 
     An item of n words is held where a passage has floor(``share`` * n) edits of words or less;
     A-Z are lower-cased. ``column`` gets item_id, start, n_words and edits of the best passage
     of each. The items go to the executors in blocks of ``block_words`` words at most (or one
-    item), with a pass over docs for each block; nothing is shuffled.
+    item), with a pass over docs for each block; nothing is shuffled. An item is missed with a
+    chance of 1 - ``recall`` at most where a sampled step of its passage agrees with chance ``agree``.
 
-    Null texts hold nothing; null or wordless items and null item_ids are left out. Repeated
+    A text is searched whole, in one row: its words and keys take about 30 times its size while
+    it is read. Null texts hold nothing; null or wordless items and null item_ids are left out. Repeated
     rows are searched each by itself. Empty tables give rows without leaks, or no rows.
     """
-    repeats = repeats_for(samples, agree, recall)
+    enough = enough_of(repeats, samples, agree, recall)
+    if not enough:
+        raise ValueError(f"{repeats} repeats don't reach a recall of {recall}")
     items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != column), T.StructField(column, LEAKS)])
 
@@ -217,10 +252,10 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks", sha
     for row in items.toLocalIterator():  # one block is on the driver at a time
         n = len(row["text"]) // 2
         if ids and size + n > block_words:
-            out, ids, texts, size = out.mapInArrow(scan(Benchmark(ids, texts, share, repeats, samples)), schema), [], [], 0
+            out, ids, texts, size = out.mapInArrow(scan(Benchmark(ids, texts, share, repeats, samples, enough)), schema), [], [], 0
         ids.append(row["item_id"]), texts.append(row["text"])
         size += n
-    return out.mapInArrow(scan(Benchmark(ids, texts, share, repeats, samples)), schema)
+    return out.mapInArrow(scan(Benchmark(ids, texts, share, repeats, samples, enough)), schema)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
