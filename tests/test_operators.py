@@ -251,6 +251,66 @@ def test_store(spark, tmp_path):
     assert s.size(3) == 0
 
 
+def test_store_reopened(spark, tmp_path):
+    path = str(tmp_path / "d")
+    s = recovery.DurableStore(spark, path)
+    s.put("a", "1", 0)
+    s.put("a", "2", 1)
+    s.put("t", "x", 2, 100)
+    s = recovery.DurableStore(spark, path)
+    s.put("a", "3", 3)
+    assert s.get("a", 4) == "3" and s.get("t", 101) == "x" and s.get("t", 102) is None  # its time runs on while the store is closed
+    s.put("gone", "y", 5)
+    s.compact(50)
+    s.invalidate("gone", 51)
+    s = recovery.DurableStore(spark, path)
+    assert s.generation == 1 and s.size(60) == 2 and s.get("gone", 60) is None
+    s.put("b", "4", 61)
+    (tmp_path / "d/snapshot=2").mkdir()  # of a compaction that was cut off: no mark of success
+    s = recovery.DurableStore(spark, path)
+    assert s.generation == 1 and sorted(rows(s.state(70))) == [("a", "3"), ("b", "4"), ("t", "x")]
+    s.clear(80)
+    assert recovery.DurableStore(spark, path).size(90) == 0
+
+
+def test_log_is_cut_and_appended(spark, tmp_path):
+    path = str(tmp_path / "a.log")
+    assert wal.append_log(spark, path, [("put", 1, "a", "1", None), ("put", 2, "b", "2", 50)]) == len((tmp_path / "a.log").read_bytes())
+    with open(path, "ab") as f:
+        f.write(wal.encode("put", 3, "c", "3")[:-2])  # torn
+    (tmp_path / ".a.log.crc").unlink(missing_ok=True)
+    wal.append_log(spark, path, [("invalidate", 4, "a")])
+    recs = wal.read_logs(spark, path)
+    assert [(r.op, r.key) for r in recs.orderBy("seq").collect()] == [("put", "a"), ("put", "b"), ("invalidate", "a")]
+    assert wal.valid_lengths(spark, path).first().valid_length == len((tmp_path / "a.log").read_bytes())
+
+
+def test_nulls_and_repeats(spark):
+    r = ring.Ring(["a", "b", "c"])
+    keys = spark.createDataFrame([("x",), (None,), ("",)], "key string")
+    out = {x.key: x for x in keys.select("key", r.owner_of(F.col("key")).alias("o"), r.replicas_of(F.col("key"), 2).alias("r")).collect()}
+    assert out[None].o is None and out[None].r is None and out["x"].o == out["x"].r[0] and out[""].o in "abc"
+    big = (1 << 53) + 1
+    longs = spark.createDataFrame([(1,), (None,), (big,), (big - 1,)], "key long")
+    assert summaries.hll_estimate(summaries.hll_registers(longs, "key")).first().estimate == 3
+    assert summaries.hll_estimate(summaries.hll_registers(spark.createDataFrame([(1,), (None,)], "key long"), "key")).first().estimate == 1
+    base = spark.createDataFrame([(1, "a", 5)], "id int, name string, price int")
+    updates = spark.createDataFrame([(1, 1, "b", None), (1, 2, None, 7), (1, 3, "c", None), (None, 4, "z", 1)], "id int, seq int, name string, price int")
+    assert rows(keyed.merge(base, updates, "id", ["name", "price"], "seq")) == [(1, "c", 7)]
+    assert rows(keyed.merge(base, updates.filter("seq < 3"), "id", ["name", "price"])) == [(1, "b", 7)]
+    with pytest.raises(Exception, match="name their order"):
+        keyed.merge(base, updates, "id", ["name", "price"]).collect()
+
+
+def test_cache_counts_and_clean_up(spark):
+    ops = [(0, 0, "put", 1, "a", 10), (1, 1, "put", 2, "b", None), (2, 2, "get", 1, None, None), (3, 3, "get", 9, None, None), (4, 20, "clean", None, None, None), (5, 21, "put", 3, "c", None), (6, 22, "put", 4, "d", None)]
+    df = spark.createDataFrame(ops, "pos long, now long, op string, key long, value string, ttl long")
+    events = keyed.run_operations(df, keyed.CacheConfig(capacity=2, policy="lru"), counts=True)
+    removed = [(r.pos, r.key, r.cause) for r in events.filter("op = 'removal'").collect()]
+    assert removed == [(4, 1, "EXPIRED"), (6, 2, "SIZE")]
+    assert tuple(keyed.cache_counts(events).first()) == (0, 1, 1, 1, 0, 1, 2, 2)
+
+
 def test_hot_swap(spark):
     t = spark.createDataFrame([(i, i) for i in range(6)], "pos long, key long")
     c = spark.createDataFrame([(2,), (5,)], "pos long")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,15 +75,16 @@ def mix64_array(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-@F.pandas_udf(T.LongType())
-def mix64(x: pd.Series) -> pd.Series:
-    """SplitMix64's finaliser of a LONG."""
-    return pd.Series(mix64_array(x.to_numpy(np.int64).view(np.uint64)).view(np.int64))
+@F.arrow_udf(T.LongType())
+def mix64(x: pa.Array) -> pa.Array:
+    """SplitMix64's finaliser of a LONG; null for a null."""
+    mixed = mix64_array(x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)).view(np.int64)
+    return pa.array(mixed, mask=x.is_null().to_numpy(zero_copy_only=False))
 
 
-def hash64_array(values: pd.Series) -> np.ndarray:
-    """FNV-1a over UTF-8, finalised by SplitMix64; one numpy step for each byte position."""
-    raw = [v.encode() for v in values]
+def hash64_array(values: Iterable[str | None]) -> np.ndarray:
+    """FNV-1a over UTF-8, finalised by SplitMix64; one numpy step for each byte position. A null hashes as the empty string."""
+    raw = [b"" if v is None else v.encode() for v in values]
     size = np.array([len(r) for r in raw])
     out = np.full(len(raw), FNV_START, dtype=np.uint64)
     if len(raw) and size.max():
@@ -94,10 +97,10 @@ def hash64_array(values: pd.Series) -> np.ndarray:
     return mix64_array(out)
 
 
-@F.pandas_udf(T.LongType())
-def hash64(value: pd.Series) -> pd.Series:
-    """64-bit hash of a STRING."""
-    return pd.Series(hash64_array(value).view(np.int64))
+@F.arrow_udf(T.LongType())
+def hash64(value: pa.Array) -> pa.Array:
+    """64-bit hash of a STRING; null for a null."""
+    return pa.array(hash64_array(value.to_pylist()).view(np.int64), mask=value.is_null().to_numpy(zero_copy_only=False))
 
 
 def next_power_of_two(n: int) -> int:

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Callable, Hashable
 from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.functions.hashing import next_power_of_two, shard_of
-from tracewell.functions.policies import POLICIES
+from tracewell.functions.policies import policy_named
 from tracewell.operators.order import asof, with_rank
 
 CAUSES = ("EXPLICIT", "REPLACED", "SIZE", "EXPIRED")
@@ -40,8 +41,7 @@ class CacheConfig:
     def __post_init__(self) -> None:
         if self.capacity < 1:
             raise ValueError(f"capacity must be at least 1, got {self.capacity}")
-        if self.policy not in POLICIES:
-            raise ValueError(f"no policy {self.policy}")
+        policy_named(self.policy, self.capacity)  # raises for an unknown one
         if self.after_write < 0 or self.after_access < 0:
             raise ValueError("times to live can't be negative")
         if not 0 <= self.jitter < 1:
@@ -72,7 +72,7 @@ class Cache:
     def __post_init__(self) -> None:
         from tracewell.functions.random import SplitMix
 
-        self.policy = POLICIES[self.config.policy](self.capacity)
+        self.policy = policy_named(self.config.policy, self.capacity)
         self.dues: list[tuple[int, int, Hashable]] = []
         self.tick, self.rng = 0, SplitMix(self.config.seed)
 
@@ -169,16 +169,25 @@ class Cache:
             self._remove(key, "EXPLICIT")
 
 
+def cache_counts(events: DataFrame) -> DataFrame:
+    """(shard, hits, misses, evictions, rejections, expirations, size, weight) from the stats rows of ``run_operations``."""
+    names = ("hits", "misses", "evictions", "rejections", "expirations", "size", "weight")
+    facts = F.from_json("answer", ", ".join(f"{n} long" for n in names))
+    return events.filter("op = 'stats'").select("shard", facts.alias("f")).select("shard", "f.*")
+
+
 EVENT = "shard int, pos long, op string, key long, answer string, cause string"
 
 
-def run_operations(operations: DataFrame, config: CacheConfig) -> DataFrame:
+def run_operations(operations: DataFrame, config: CacheConfig, counts: bool = False) -> DataFrame:
     """Answers and removals of operations (pos, now, op, key, value, ttl) on a cache.
 
-    ``op`` is get, load (a get that stores ``value`` on a miss), put, invalidate, clear or
-    contains. A clear goes to all shards. Rows: the operation with its answer (cause null),
-    and a row with op removal for each entry that it removed, with its value and cause.
-    Each shard is one ordered fold; its capacity is an even part of the whole.
+    ``op`` is get, load (a get that stores ``value`` on a miss), put, invalidate, clear,
+    clean (remove what is due) or contains. A clear or clean goes to all shards. Rows: the
+    operation with its answer (cause null), and a row with op removal for each entry that it
+    removed, with its value and cause. Each shard is one ordered fold; its capacity is an even
+    part of the whole. With ``counts``, a last row of each shard with op stats has its counters
+    as JSON: hits, misses, evictions, rejections, expirations, size and weight at the end.
     """
     n = config.shards
     own = [config.capacity // n + (i < config.capacity % n) for i in range(n)]
@@ -200,6 +209,8 @@ def run_operations(operations: DataFrame, config: CacheConfig) -> DataFrame:
                 cache.invalidate(k)
             elif r.op == "clear":
                 cache.clear()
+            elif r.op == "clean":
+                cache.expire(now)
             elif r.op == "contains":
                 answer = str(cache.contains(k, now)).lower()
             else:
@@ -207,9 +218,12 @@ def run_operations(operations: DataFrame, config: CacheConfig) -> DataFrame:
             rows.append((shard, r.pos, r.op, k, answer, None))
             rows += [(shard, r.pos, "removal", a, v, c) for a, v, c in cache.removed]
             cache.removed = []
+        if counts:
+            facts = {**cache.counts, "size": len(cache.entries), "weight": cache.weight}
+            rows.append((shard, int(frame["pos"].max()) + 1, "stats", None, json.dumps(facts), None))
         return pd.DataFrame(rows, columns=["shard", "pos", "op", "key", "answer", "cause"]).astype({"key": "Int64"})
 
-    to = F.when(F.col("op") == "clear", F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(shard_of(F.col("key"), n)))
+    to = F.when(F.col("op").isin("clear", "clean"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(shard_of(F.col("key"), n)))
     return operations.withColumn("shard", F.explode(to)).groupBy("shard").applyInPandas(run, EVENT)
 
 
@@ -271,9 +285,19 @@ def coalesce_writes(writes: DataFrame) -> DataFrame:
     return writes.groupBy("batch", "key").agg(last.alias("w")).select("batch", "key", "w.*")
 
 
-def merge(base: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Base rows with the non-null ``columns`` of their update; updates of unknown keys change nothing."""
-    new = updates.select(key, *(F.col(c).alias(f"_{c}") for c in columns))
+def merge(base: DataFrame, updates: DataFrame, key: str, columns: list[str], order: str | None = None) -> DataFrame:
+    """Base rows with the non-null ``columns`` of their update; updates of unknown keys change nothing.
+
+    Of several updates of a key each column takes the last non-null value by ``order``. Without
+    an order, updates of a key that contradict each other raise. A null key updates nothing.
+    """
+
+    def value(c: str) -> Column:
+        if order:
+            return F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order)))
+        return F.when(F.min(c) != F.max(c), F.raise_error(F.lit(f"updates of a key differ in {c}; name their order"))).otherwise(F.max(c))
+
+    new = updates.groupBy(key).agg(*(value(c).alias(f"_{c}") for c in columns))
     out = base.join(new, key, "left")
     return out.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).select(base.columns)
 

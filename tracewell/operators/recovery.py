@@ -43,16 +43,38 @@ def compact(records: DataFrame, now: int, snapshot: DataFrame | None = None) ->
 class DurableStore:
     """An appendable table of records and snapshots in a folder: put, invalidate, clear, get, size, compact.
 
-    Each call appends a Parquet file, so its order is the sequence number that it carries.
+    Each call appends a Parquet file, so its order is the sequence number that it carries. A
+    store that is opened on a folder goes on where the last one stopped: with the newest
+    snapshot that was written whole, the log that follows it, and the next sequence number.
+    Times to live are kept in the log as they were given, so they run on while it is closed.
     """
 
     SCHEMA = "seq long, op string, ts_millis long, key string, value string, ttl_millis long"
 
     def __init__(self, spark: SparkSession, path: str, compact_every: int = 0):
         self.spark, self.path, self.every = spark, path, compact_every
-        self.generation, self.seq, self.since = 0, 0, 0
         self._snapshot: DataFrame | None = None
-        self._append([])
+        self.generation = self._newest()
+        if self.generation:
+            self._snapshot = spark.read.schema("key string, value string").parquet(f"{path}/snapshot={self.generation}")
+        if self._exists(f"log={self.generation}"):
+            held = self.records().agg(F.max("seq").alias("seq"), F.count("*").alias("n")).first()
+            self.seq, self.since = held["seq"] or 0, held["n"]
+        else:
+            self.seq, self.since = 0, 0
+            self._append([])
+
+    def _exists(self, name: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
+    def _newest(self) -> int:
+        """The number of the newest snapshot that is complete, or 0."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+        found = [int(n[9:]) for n in names if n.startswith("snapshot=") and self._exists(f"{n}/_SUCCESS")]
+        return max(found, default=0)
 
     def _log(self) -> str:
         return f"{self.path}/log={self.generation}"

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.functions.hashing import next_power_of_two, shard_of
-from tracewell.functions.policies import OPTIMUM, POLICIES, reuse_distances, simulate
+from tracewell.functions.policies import OPTIMUM, POLICIES, policy_named, reuse_distances, simulate
 from tracewell.operators.order import dealt_by_range
 
 NEVER = (1 << 31) - 1
@@ -27,32 +27,29 @@ def next_use(trace: DataFrame) -> DataFrame:
     return trace.withColumn("next_use", F.coalesce(F.lead("pos").over(W.partitionBy("key").orderBy("pos")), F.lit(NEVER).cast("long")))
 
 
-def _crossed(trace: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    """Each request for each of a few settings (a literal list, so its size is the caller's)."""
-    names = [c.split()[0] for c in schema.split(", ")]
-    settings = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, r))) for r in rows))
-    return trace.withColumn("_s", F.explode(settings)).select(*trace.columns, "_s.*")
-
-
-def replay(trace: DataFrame, capacities: Sequence[int], policies: Sequence[str] = (*POLICIES, OPTIMUM), by: Sequence[str] = ()) -> DataFrame:
+def replay(trace: DataFrame, capacities: Sequence[int], policies: Sequence[str] = (*POLICIES, OPTIMUM), by: Sequence[str] = (), tasks: int = 0) -> DataFrame:
     """(``by``, capacity, policy, hits, misses, hit_rate) of a trace (pos, key).
 
-    A trace is one ordered fold, so it must fit a task; ``by`` names columns whose groups are
-    traces of their own. All settings of a trace run in parallel, from one shuffle.
+    A trace is one ordered fold, so its positions and keys must fit a task; ``by`` names columns
+    whose groups are traces of their own. A trace is shuffled once for each of ``tasks`` parts of
+    the settings, not for each setting: at most as many as the session has cores to run a few traces.
     """
     for c in capacities:
         if c < 1:
             raise ValueError(f"capacity must be at least 1, got {c}")
-    keys = [*by, "policy", "capacity"]
+    settings = [(p, c) for c in capacities for p in policies]
+    cores = trace.sparkSession.sparkContext.defaultParallelism
+    tasks = tasks or (1 if by else max(1, min(cores, len(settings))))
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(frame["pos"].to_numpy(), kind="stable")
-        hits, misses = simulate(frame["key"].to_numpy()[order].tolist(), int(key[-1]), key[-2])
-        return pd.DataFrame([(*key, hits, misses)], columns=[*keys, "hits", "misses"])
+        keys = frame["key"].to_numpy()[order].tolist()
+        rows = [(*key[:-1], p, c, *simulate(keys, int(c), p)) for p, c in settings[int(key[-1]) :: tasks]]
+        return pd.DataFrame(rows, columns=[*by, "policy", "capacity", "hits", "misses"])
 
-    rows = _crossed(trace.select(*by, "pos", "key"), [(p, c) for p in policies for c in capacities], "policy string, capacity int")
+    rows = trace.select(*by, "pos", "key", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("_part"))
     types = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in trace.select(*by).schema)
-    out = rows.groupBy(*keys).applyInPandas(run, f"{types}policy string, capacity int, hits long, misses long")
+    out = rows.groupBy(*by, "_part").applyInPandas(run, f"{types}policy string, capacity int, hits long, misses long")
     return out.withColumn("hit_rate", hit_rate(F.col("hits"), F.col("hits") + F.col("misses")))
 
 
@@ -107,12 +104,13 @@ def snapshots(trace: DataFrame, capacity: int, policy: str = "ARC") -> DataFrame
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("pos")
-        p, resident, rows = POLICIES[policy](capacity), set(), []
+        p, resident, rows = policy_named(policy, capacity), set(), []
         for pos, key in zip(frame["pos"], frame["key"].tolist()):
             hit = key in resident
             if hit:
                 p.on_access(key)
             else:
+                p.on_miss(key)
                 p.before_insert(key)
                 while len(resident) >= capacity:
                     out = p.victim()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ class Ring:
 
     def __init__(self, nodes: Sequence[str], virtual: int = VIRTUAL_NODES):
         self.nodes, self.virtual = sorted(set(nodes)), virtual
-        names = pd.Series([f"{n}#{v}" for n in self.nodes for v in range(virtual)], dtype=object)
+        names = [f"{n}#{v}" for n in self.nodes for v in range(virtual)]
         points = hash64_array(names).view(np.int64)
         order = np.argsort(points, kind="stable")
         self.points, self.owner = points[order], np.repeat(np.arange(len(self.nodes)), virtual)[order]
@@ -39,14 +39,14 @@ class Ring:
         return np.searchsorted(self.points, h) % len(self.points)
 
     def owner_of(self, key: Column) -> Column:
-        """The node of a STRING key; null without nodes."""
+        """The node of a STRING key; null for a null key or without nodes."""
         if not self.nodes:
             return F.lit(None).cast("string")
         names = np.array(self.nodes, dtype=object)
 
-        @F.pandas_udf(T.StringType())
-        def find(k: pd.Series) -> pd.Series:
-            return pd.Series(names[self.owner[self.at(hash64_array(k).view(np.int64))]])
+        @F.arrow_udf(T.StringType())
+        def find(k: pa.Array) -> pa.Array:
+            return pa.array(names[self.owner[self.at(hash64_array(k.to_pylist()).view(np.int64))]], pa.string(), mask=k.is_null().to_numpy(zero_copy_only=False))
 
         return find(key)
 
@@ -65,14 +65,15 @@ class Ring:
         return out
 
     def replicas_of(self, key: Column, count: int) -> Column:
-        """The nodes that hold a key, the primary first."""
+        """The nodes that hold a key, the primary first; null for a null key."""
         if not self.nodes:
             return F.array().cast("array<string>")
         names, table = np.array(self.nodes, dtype=object), self.successors(count)
 
-        @F.pandas_udf(T.ArrayType(T.StringType()))
-        def find(k: pd.Series) -> pd.Series:
-            return pd.Series(list(names[table[self.at(hash64_array(k).view(np.int64))]]))
+        @F.arrow_udf(T.ArrayType(T.StringType()))
+        def find(k: pa.Array) -> pa.Array:
+            held = names[table[self.at(hash64_array(k.to_pylist()).view(np.int64))]].tolist()
+            return pa.array([h if ok else None for h, ok in zip(held, k.is_valid().to_pylist())], pa.list_(pa.string()))
 
         return find(key)
 

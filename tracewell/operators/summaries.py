@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.hashing import leading_zeros, mix64
 from tracewell.functions.sketches import BloomFilter, CountMin, SpaceSaving, alpha
+from tracewell.operators.order import with_rank
 from tracewell.operators.replay import hit_rate
 
 COUNTERS = ("hits", "misses", "load_successes", "load_failures", "load_nanos", "evictions", "rejections", "expirations")
 
 
 def hll_registers(df: DataFrame, key: str, p: int = 14, by: Sequence[str] = ()) -> DataFrame:
-    """(``by``, register, rank): each register's largest rank. Registers of parts merge by maximum."""
+    """(``by``, register, rank): each register's largest rank. Registers of parts merge by maximum; a null is no key."""
     if not 4 <= p <= 16:
         raise ValueError(f"p must be 4 to 16, got {p}")
-    h = df.select(*by, mix64(F.col(key).cast("long")).alias("h"))
+    h = df.select(*by, F.col(key).cast("long").alias("_k")).filter("_k is not null").select(*by, mix64(F.col("_k")).alias("h"))
     rank = F.least(F.lit(65 - p), leading_zeros(F.shiftleft("h", p)) + 1)
     return h.groupBy(*by, F.shiftrightunsigned("h", 64 - p).alias("register")).agg(F.max(rank).cast("int").alias("rank"))
 
@@ -138,14 +139,13 @@ def write_reduction(staged: Column, flushed: Column) -> Column:
 
 
 def run_summary(samples: DataFrame, millis: str, seconds: float) -> DataFrame:
-    """(requests, throughput, avg_millis, p50, p99) of a load run."""
+    """(requests, throughput, avg_millis, p50, p99) of a load run; ranks go over range partitions."""
     held = samples.agg(F.count("*").alias("requests"), F.avg(millis).alias("avg_millis"))
-    tail = samples.select(F.lit(1).alias("one"), F.col(millis).alias("m")).groupBy("one").agg(F.count("*").alias("n"))
-    n = tail.first()
-    size = n["n"] if n else 0
-    ranked = samples.select(F.col(millis).alias("m")).orderBy("m")
-    pick = lambda f: ranked.offset(min(size - 1, int(f * size))).limit(1).first()[0] if size else 0.0
-    return held.select("requests", (F.col("requests") / seconds).alias("throughput"), F.coalesce("avg_millis", F.lit(0.0)).alias("avg_millis"), F.lit(float(pick(0.5))).alias("p50"), F.lit(float(pick(0.99))).alias("p99"))
+    ranked = with_rank(samples.select(F.col(millis).cast("double").alias("m")), [F.col("m")])
+    size = F.lit(samples.count())
+    at = lambda f: F.max(F.when(F.col("rank") == F.least(size - 1, F.floor(size * f)), F.col("m")))
+    tail = ranked.agg(F.coalesce(at(0.5), F.lit(0.0)).alias("p50"), F.coalesce(at(0.99), F.lit(0.0)).alias("p99")).first()
+    return held.select("requests", (F.col("requests") / seconds).alias("throughput"), F.coalesce("avg_millis", F.lit(0.0)).alias("avg_millis"), *(F.lit(float(tail[c])).alias(c) for c in ("p50", "p99")))
 
 
 def variant_report(requests: DataFrame) -> DataFrame:

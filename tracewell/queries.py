@@ -210,8 +210,8 @@ def zipf_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, CAST(user_id AS INTEGER) AS key FROM events")
 def trace_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark)
-    lines = trace(spark, sf_dir).coalesce(1).sortWithinPartitions("pos").select(F.concat(F.lit(" "), F.col("key").cast("string")).alias("value"))
-    spark.createDataFrame([("# a comment",), ("",)], "value string").coalesce(1).unionByName(lines).coalesce(1).write.text(path)
+    lines = trace(spark, sf_dir).orderBy("pos").select(F.concat(F.lit(" "), F.col("key").cast("string"), F.when(F.col("pos") % 1000 == 0, "\n# a comment\n").otherwise("")).alias("value"))
+    lines.write.text(path)
     return traces.integer_keys(spark, path)
 
 
@@ -220,7 +220,7 @@ WITH t AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, event_type |
 SELECT pos, dense_rank() OVER (ORDER BY first) - 1 AS id FROM t JOIN f USING (k)""")
 def trace_dense_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark)
-    rows = table(spark, sf_dir, "events").coalesce(1).sortWithinPartitions("event_id")
+    rows = table(spark, sf_dir, "events").orderBy("event_id")
     rows.select(F.concat("event_type", F.col("user_id").cast("string")).alias("value")).write.text(path)
     return traces.string_keys(spark, path)
 
@@ -549,14 +549,20 @@ def log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_file_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same through the binary format: encoded, written, read back and decoded."""
     path = work_dir(spark)
-    wal.encode_log(_records(spark, sf_dir).withColumn("log", F.lit("0"))).write.parquet(path)
-    return recovery.recover(wal.decode_frames(spark.read.parquet(path)), now=1 << 50)
+    rows = _records(spark, sf_dir).withColumn("log", F.format_string("%012d", F.floor(F.col("seq") / 5000)))  # a log for each 5,000 records
+    wal.encode_log(rows).write.parquet(path)
+    read = wal.decode_frames(spark.read.parquet(path))
+    return recovery.recover(read.withColumn("seq", F.col("path").cast("long") * 5000 + F.col("seq")), now=1 << 50)
 
 
-@query(LOG_SQL.replace("SELECT key, value FROM z", "SELECT key, value FROM z") + " UNION ALL SELECT 'k' || c_custkey, c_name FROM customer WHERE 'k' || c_custkey NOT IN (SELECT key FROM l) AND NOT EXISTS (SELECT 1 FROM r WHERE op = 'clear')")
+@query(
+    LOG_SQL.replace("WHERE op <> 'clear' AND seq > coalesce((SELECT max(seq) FROM r WHERE op = 'clear'), -1)", "WHERE op <> 'clear'")
+    + " UNION ALL SELECT 'k' || c_custkey, c_name FROM customer WHERE 'k' || c_custkey NOT IN (SELECT key FROM l)"
+)
 def snapshot_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log without a clear over a snapshot: live keys of both, the log's where it has the key."""
     base = table(spark, sf_dir, "customer").select(F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_name").alias("value"))
-    return recovery.recover(_records(spark, sf_dir), 1 << 50, base)
+    return recovery.recover(_records(spark, sf_dir).filter("op <> 'clear'"), 1 << 50, base)
 
 
 # --- reports

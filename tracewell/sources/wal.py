@@ -93,6 +93,27 @@ def valid_lengths(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", valid("content").alias("valid_length"))
 
 
+def append_log(spark: SparkSession, path: str, records: list[tuple]) -> int:
+    """Cut a log file after its last whole record and append records (op, ts, key, value, ttl); its new length.
+
+    The new file is written beside the old one, which it then replaces, so a reader never sees
+    half of it. The driver holds one log, which must fit a cell as in ``read_logs``.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    old, new = fs_path(path), fs_path(path + ".new")
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = bytes(spark.read.format("binaryFile").load(path).first()["content"]) if fs.exists(old) else b""
+    content = held[: decode(held)[1]] + b"".join(encode(*r) for r in records)
+    out = fs.create(new, True)
+    out.write(bytearray(content))
+    out.hsync()
+    out.close()
+    if fs.exists(old):
+        fs.delete(old, False)
+    fs.rename(new, old)
+    return len(content)
+
+
 def encode_log(records: DataFrame) -> DataFrame:
     """(log, content): all records of each ``log`` in order of seq, as the bytes of a log file. A log must fit one task, as its file must."""
 

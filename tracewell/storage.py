@@ -9,5 +9,9 @@ from pyspark.sql import SparkSession
 
 
 def work_dir(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/tracewell-work"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.gettempdir() + "/tracewell-work"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
