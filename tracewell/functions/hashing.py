@@ -39,6 +39,20 @@ def spread(key: Column) -> Column:
     return fmix32(key.bitwiseXOR(F.shiftrightunsigned(key, 32)))
 
 
+def key_hash(key: Column, kind: T.DataType) -> Column:
+    """Spread hash of a key of integral type, or of any other by its string's 31-based hash."""
+    if isinstance(kind, T.IntegralType):
+        return spread(key)
+
+    @F.arrow_udf(T.LongType())
+    def hashed(x: pa.Array) -> pa.Array:
+        from tracewell.functions.sketches import string_hash
+
+        return pa.array([None if v is None else fmix32_int(string_hash(str(v))) for v in x.to_pylist()], pa.int64())
+
+    return hashed(key)
+
+
 def shard_of(key: Column, shards: int) -> Column:
     """Shard of a LONG key: the top bits of its spread hash. ``shards`` is rounded up to a power of two."""
     bits = next_power_of_two(shards).bit_length() - 1

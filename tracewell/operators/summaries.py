@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.functions.hashing import leading_zeros, mix64
+from tracewell.functions.hashing import fmix32, key_hash, leading_zeros, mix64
 from tracewell.functions.sketches import BloomFilter, CountMin, SpaceSaving, alpha
 from tracewell.operators.order import with_rank
 from tracewell.operators.replay import hit_rate
@@ -80,14 +80,18 @@ def count_min(trace: DataFrame, expected: int, by: Sequence[str] = ()) -> DataFr
 
 
 def seen_before(trace: DataFrame, expected: int, hashes: int = 4) -> DataFrame:
-    """(pos, key, seen): whether a Bloom filter had each key before, in the trace's order."""
+    """(pos, key, seen): whether a Bloom filter had each key before, in the trace's order; a null key was never seen.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, bloom = frame.sort_values("pos"), BloomFilter(expected, hashes)
-        return frame.assign(seen=[bloom.seen_before(key) for key in frame["key"].tolist()])
-
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in trace.select("pos", "key").schema)
-    return trace.select("pos", "key").groupBy().applyInPandas(run, f"{types}, seen boolean")
+    A key was seen if all its bits were set before, and a bit is set by the first request of
+    any key that has it. So minima by bit and maxima by key replace the fold over the trace.
+    """
+    size = BloomFilter(expected, hashes).size
+    a, b = F.col("_a"), F.col("_b")
+    firsts = trace.filter("key is not null").groupBy("key").agg(F.min("pos").alias("_first")).withColumn("_a", key_hash(F.col("key"), trace.schema["key"].dataType)).withColumn("_b", fmix32(a))
+    bits = firsts.select("key", "_first", F.explode(F.array(*((a + i * b).bitwiseAND(size - 1) for i in range(hashes)))).alias("_bit"))
+    set_at = bits.groupBy("_bit").agg(F.min("_first").alias("_set"))
+    whole = bits.join(set_at, "_bit").groupBy("key").agg(F.max("_set").alias("_whole"))
+    return trace.select("pos", "key").join(whole, "key", "left").select("pos", "key", F.coalesce(F.col("pos") > F.col("_whole"), F.lit(False)).alias("seen"))
 
 
 def last_percentiles(samples: DataFrame, value: str, order: str, n: int = 2048, fractions: Sequence[float] = (0.5, 0.9, 0.99, 0.999), by: Sequence[str] = (), whole: bool = True) -> DataFrame:

@@ -17,6 +17,7 @@ from tracewell.functions.text import key_path, query_parameter
 from tracewell.operators import catalog, frames, keyed, patterns, recovery, replay, ring, summaries
 from tracewell.operators.order import with_rank
 from tracewell.plans import matrix
+from tracewell.policy_sql import policy_sql
 from tracewell.sources import traces, wal, workloads
 from tracewell.storage import work_dir
 from tracewell.streaming import live
@@ -134,6 +135,18 @@ def policy_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.replay(trace(spark, sf_dir), [20, 50, 100])
 
 
+def _one_policy(policy: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return replay.replay(trace(spark, sf_dir), [20, 50], [policy]).drop("hit_rate")
+
+    run.__name__ = "policy_" + policy.lower().replace("-", "_")
+    return run
+
+
+for _name, _sql in policy_sql(20).items():
+    query(f"SELECT * FROM ({_sql}) UNION ALL SELECT * FROM ({policy_sql(50)[_name]})")(_one_policy(_name))
+
+
 @query()
 def policy_replay_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("pos"), F.col("user_id").alias("key"))
@@ -177,7 +190,19 @@ def sharded_lru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.sharded_replay(trace(spark, sf_dir), 50, [4]).drop("hit_rate")
 
 
-@query()
+LOSS_SQL = (
+    "WITH "
+    + SPREAD_SQL
+    + """,
+t AS (SELECT n, CASE n WHEN 1 THEN 0 WHEN 4 THEN spread >> 30 ELSE spread >> 28 END AS s, event_id AS i, user_id AS k FROM h, (SELECT unnest([1, 4, 16]) AS n)),
+a AS (SELECT n, s, i, k, lag(i) OVER w AS p, lead(i) OVER w AS nx FROM t WINDOW w AS (PARTITION BY n, k ORDER BY i)),
+r AS (SELECT a.n, a.i, count(*) AS d FROM a JOIN a b ON b.n = a.n AND b.s = a.s AND b.i > a.p AND b.i < a.i AND (b.nx IS NULL OR b.nx >= a.i) WHERE a.p IS NOT NULL GROUP BY 1, 2),
+x AS (SELECT a.n, 64 // a.n + CASE WHEN a.s < 64 % a.n THEN 1 ELSE 0 END AS c, CASE WHEN a.p IS NULL THEN NULL ELSE coalesce(r.d, 0) END AS d FROM a LEFT JOIN r USING (n, i))
+SELECT n::INTEGER AS shards, 64 AS capacity, count(*) FILTER (d < c) AS hits, count(*) FILTER (d IS NULL OR d >= c) AS misses, count(*) FILTER (d < c) / count(*) AS hit_rate FROM x GROUP BY n"""
+)
+
+
+@query(LOSS_SQL)
 def sharding_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.sharded_replay(trace(spark, sf_dir), 64, [1, 4, 16])
 
@@ -284,7 +309,21 @@ def frequency_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.count_min(trace(spark, sf_dir), 200)
 
 
-@query()
+DOOR_SQL = (
+    "WITH "
+    + SPREAD_SQL
+    + """,
+k AS (SELECT user_id AS key, spread AS a, min(event_id) AS first FROM h GROUP BY 1, 2),
+k1 AS (SELECT *, (xor(a, a >> 16)::UHUGEINT * 2246822507 % 4294967296)::BIGINT AS y FROM k),
+k2 AS (SELECT *, (xor(y, y >> 13)::UHUGEINT * 3266489909 % 4294967296)::BIGINT AS v FROM k1),
+p AS (SELECT key, first, unnest([(a + j * xor(v, v >> 16)) & 16383 for j in [0, 1, 2, 3]]) AS place FROM k2),
+b AS (SELECT place, min(first) AS set_at FROM p GROUP BY 1),
+w AS (SELECT key, max(set_at) AS whole FROM p JOIN b USING (place) GROUP BY 1)
+SELECT event_id AS pos, user_id AS key, event_id > whole AS seen FROM events JOIN w ON key = user_id"""
+)
+
+
+@query(DOOR_SQL)
 def doorkeeper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.seen_before(trace(spark, sf_dir), 2000)
 
@@ -478,13 +517,34 @@ def ring_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.ring_join(keys, points).select("key", "owner")
 
 
-@query()
+REPLICA_SQL = (
+    "WITH "
+    + FNV_SQL.format(nodes=5)
+    + """,
+nx AS (SELECT a.h, a.owner, coalesce(arg_min(b.owner, b.h) FILTER (b.h > a.h), arg_min(b.owner, b.h)) AS second FROM p a JOIN p b ON a.owner <> b.owner GROUP BY 1, 2),
+s AS (SELECT key, coalesce(nx.h, (SELECT min(h) FROM nx)) AS h FROM q ASOF LEFT JOIN nx ON q.h <= nx.h)
+SELECT key, owner || ',' || second AS replicas FROM s JOIN nx USING (h)"""
+)
+
+
+@query(REPLICA_SQL)
 def ring_replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
     five = ring.Ring([f"node-{i}" for i in range(5)])
     return _customer_keys(spark, sf_dir).withColumn("replicas", F.array_join(five.replicas_of(F.col("key"), 2), ","))
 
 
-@query()
+MOVED_SQL = (
+    "WITH "
+    + FNV_SQL.format(nodes=5).replace("range(500)", "range(160)")
+    + """,
+p4 AS (SELECT * FROM p WHERE owner <> 'node-4'),
+o4 AS (SELECT key, coalesce(p4.owner, (SELECT arg_min(owner, h) FROM p4)) AS owner FROM q ASOF LEFT JOIN p4 ON q.h <= p4.h)
+SELECT 'ring' AS routing, avg(CASE WHEN o.owner <> o4.owner THEN 1.0::DOUBLE ELSE 0 END) AS moved_share FROM o JOIN o4 USING (key)
+UNION ALL SELECT 'modulo', avg(CASE WHEN (h % 4 + 4) % 4 <> (h % 5 + 5) % 5 THEN 1.0::DOUBLE ELSE 0 END) FROM q"""
+)
+
+
+@query(MOVED_SQL)
 def ring_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     four = ring.Ring([f"node-{i}" for i in range(4)], 160)
     keys = _customer_keys(spark, sf_dir)
