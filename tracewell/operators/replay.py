@@ -66,7 +66,9 @@ def distances(trace: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def lru_hits(trace: DataFrame, capacities: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
-    """(``by``, capacity, hits, misses) of LRU at all capacities from one pass of reuse distances."""
+    """(``by``, capacity, hits, misses) of LRU at all capacities from one pass of reuse distances; one trace goes by ranges."""
+    if not by:
+        return lru_hits_in_parts(trace, capacities)
     known = distances(trace, by)
     rows = known.groupBy(*by, "distance").count()  # a histogram is enough, and is smaller
     sums = rows.groupBy(*by).agg(*(F.sum(F.when(F.col("distance") < c, F.col("count")).otherwise(0)).alias(f"_{c}") for c in capacities), F.sum("count").alias("n"))
@@ -74,6 +76,26 @@ def lru_hits(trace: DataFrame, capacities: Sequence[int], by: Sequence[str] = ()
     return sums.select(*by, "n", each.alias("e")).select(*by, "e.*", (F.col("n") - F.col("e.hits")).alias("misses"))
 
 
+def hot_swap_replay(trace: DataFrame, segments: DataFrame) -> DataFrame:
+    """(segment, policy, capacity, hits, misses) of a trace (pos, key, segment) whose cache is swapped for an empty one at each segment.
+
+    ``segments`` (segment, policy, capacity) says what each is swapped for; a segment without
+    a row is an error. Segments are traces of their own, so they run side by side.
+    """
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(frame["pos"].to_numpy(), kind="stable")
+        policy, capacity = frame["policy"].iloc[0], frame["capacity"].iloc[0]
+        if policy is None or pd.isna(capacity):
+            raise ValueError(f"no settings for segment {key[0]}")
+        hits, misses = simulate(frame["key"].to_numpy()[order].tolist(), int(capacity), policy)
+        return pd.DataFrame([(key[0], policy, int(capacity), hits, misses)], columns=["segment", "policy", "capacity", "hits", "misses"])
+
+    kind = trace.schema["segment"].dataType.simpleString()
+    rows = trace.select("segment", "pos", "key").join(segments.select("segment", "policy", "capacity"), "segment", "left")
+    return rows.groupBy("segment").applyInPandas(run, f"segment {kind}, policy string, capacity int, hits long, misses long")
+
+
 def shard_capacity(shard: Column, capacity: int, shards: int) -> Column:
     """Capacity of a shard: an even split, the first shards one more."""
     return (F.lit(capacity // shards) + (shard < capacity % shards).cast("int")).cast("int")
@@ -100,7 +122,10 @@ def sharded_replay(trace: DataFrame, capacity: int, shards: Sequence[int], polic
 
 
 def snapshots(trace: DataFrame, capacity: int, policy: str = "ARC") -> DataFrame:
-    """One row for each request: (pos, key, hit, state), where state has the policy's parts, newest keys first."""
+    """One row for each request: (pos, key, hit, state, facts), where state has the policy's parts, newest keys first.
+
+    ``facts`` are its numbers: ARC's target, and for W-TinyLFU the estimated frequency of the key.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("pos")
@@ -119,11 +144,12 @@ def snapshots(trace: DataFrame, capacity: int, policy: str = "ARC") -> DataFrame
                     p.on_remove(out)
                 resident.add(key)
                 p.on_insert(key)
-            rows.append((pos, key, hit, {name: list(part)[::-1] for name, part in _parts(p).items()}))
-        return pd.DataFrame(rows, columns=["pos", "key", "hit", "state"])
+            facts = {"target": float(p.p)} if hasattr(p, "p") else {"frequency": float(p.counts.estimate(key))} if hasattr(p, "counts") else {}
+            rows.append((pos, key, hit, {name: list(part)[::-1] for name, part in _parts(p).items()}, facts))
+        return pd.DataFrame(rows, columns=["pos", "key", "hit", "state", "facts"])
 
     kind = trace.schema["key"].dataType.simpleString()
-    return trace.select("pos", "key").groupBy().applyInPandas(run, f"pos long, key {kind}, hit boolean, state map<string,array<{kind}>>")
+    return trace.select("pos", "key").groupBy().applyInPandas(run, f"pos long, key {kind}, hit boolean, state map<string,array<{kind}>>, facts map<string,double>")
 
 
 def _parts(policy: object) -> dict[str, dict]:

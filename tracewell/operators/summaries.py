@@ -125,8 +125,13 @@ def merge_counters(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def counter_deltas(ticks: DataFrame, order: str, counters: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Growth of each counter since the tick before, never negative (a reset counts as no growth)."""
-    w = W.partitionBy(*by).orderBy(order)
-    return ticks.withColumns({f"{c}_delta": F.greatest(F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0)), F.lit(0)) for c in counters})
+    if by:
+        w = W.partitionBy(*by).orderBy(order)
+        return ticks.withColumns({f"{c}_delta": F.greatest(F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0)), F.lit(0)) for c in counters})
+    ranked = with_rank(ticks, [F.col(order)], "_at")  # one series: each tick meets the one before by its rank, not in one task
+    before = ranked.select((F.col("_at") + 1).alias("_at"), *(F.col(c).alias(f"_{c}") for c in counters))
+    out = ranked.join(before, "_at", "left")
+    return out.select(*ticks.columns, *(F.greatest(F.col(c) - F.coalesce(F.col(f"_{c}"), F.lit(0)), F.lit(0)).alias(f"{c}_delta") for c in counters))
 
 
 def per_second(delta: Column, seconds: Column) -> Column:

@@ -17,7 +17,7 @@ from tracewell.functions.text import key_path, query_parameter
 from tracewell.operators import catalog, frames, keyed, patterns, recovery, replay, ring, summaries
 from tracewell.operators.order import with_rank
 from tracewell.plans import matrix
-from tracewell.policy_sql import policy_sql
+from tracewell.policy_sql import arc_parts_sql, policy_sql
 from tracewell.sources import traces, wal, workloads
 from tracewell.storage import work_dir
 from tracewell.streaming import live
@@ -207,9 +207,10 @@ def sharding_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.sharded_replay(trace(spark, sf_dir), 64, [1, 4, 16])
 
 
-@query()
+@query(arc_parts_sql(8))
 def arc_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.snapshots(trace(spark, sf_dir), 8, "ARC").select("pos", "key", "hit", F.to_json("state").alias("state"))
+    out = replay.snapshots(trace(spark, sf_dir), 8, "ARC")
+    return out.select("pos", "key", *(F.array_join(F.col("state")[p].cast("array<string>"), ",").alias(p) for p in ("t1", "t2", "b1", "b2")), F.col("facts")["target"].alias("target"))
 
 
 @query()
@@ -479,6 +480,22 @@ def hot_swap_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.hot_swap(rows, rows.filter("pos % 4000 = 0").select("pos")).select("pos", "key", F.col("segment"))
 
 
+SWAP_SQL = """
+WITH t AS (SELECT event_id AS i, user_id AS k, event_id // 4000 + CASE WHEN event_id < 0 THEN 0 ELSE 1 END AS s FROM events),
+a AS (SELECT s, i, k, lag(i) OVER w AS p, lead(i) OVER w AS nx FROM t WINDOW w AS (PARTITION BY s, k ORDER BY i)),
+r AS (SELECT a.i, count(*) AS d FROM a JOIN a b ON b.s = a.s AND b.i > a.p AND b.i < a.i AND (b.nx IS NULL OR b.nx >= a.i) WHERE a.p IS NOT NULL GROUP BY 1),
+x AS (SELECT a.s, 10 + a.s % 3 * 20 AS c, CASE WHEN a.p IS NULL THEN NULL ELSE coalesce(r.d, 0) END AS d FROM a LEFT JOIN r USING (i))
+SELECT s AS segment, 'LRU' AS policy, c::INTEGER AS capacity, count(*) FILTER (d < c) AS hits, count(*) FILTER (d IS NULL OR d >= c) AS misses FROM x GROUP BY 1, 3"""
+
+
+@query(SWAP_SQL)
+def hot_swap_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache is swapped for an empty one of another capacity every 4,000 requests."""
+    rows = hot_swap_segments(spark, sf_dir)
+    settings = rows.select("segment").distinct().select("segment", F.lit("LRU").alias("policy"), (10 + F.col("segment") % 3 * 20).cast("int").alias("capacity"))
+    return replay.hot_swap_replay(rows, settings)
+
+
 # --- ring
 
 
@@ -680,6 +697,16 @@ def _stock(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return base, base.filter("id % 3 = 0"), updates
 
 
+@query("SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 7 = 0 THEN p_retailprice * 2 ELSE p_retailprice END AS price FROM part")
+def write_through_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.write_through(*_stock(spark, sf_dir), "id", ["name", "price"])[0]
+
+
+@query("SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 7 = 0 THEN p_retailprice * 2 ELSE p_retailprice END AS price FROM part")
+def write_around_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.write_around(*_stock(spark, sf_dir), "id", ["name", "price"])[0]
+
+
 @query("SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 7 = 0 THEN p_retailprice * 2 ELSE p_retailprice END AS price FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 7 = 0")
 def write_through_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.write_through(*_stock(spark, sf_dir), "id", ["name", "price"])[1]
