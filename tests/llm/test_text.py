@@ -359,3 +359,28 @@ def test_hash_of_kept_text(spark):
 
     out = substrings.dedup_substrings(frame(spark, [(1, " a  é\nb ")])).select(F.sha2("kept_text", 256)).first()[0]
     assert out == hashlib.sha256("a é b".encode()).hexdigest()
+
+
+def test_a_long_text_is_read_whole(tmp_path):
+    """Words, shingles, tokens, leaks and scores of one text of 3 MB equal those of plain code."""
+    from tracewell.llm import convnet, tokens, toxicity
+    from tracewell.llm.queries import tokenizer_path
+
+    rng = random.Random(19)
+    words = [f"w{rng.randrange(30_000)}" for _ in range(450_000)]
+    words[400_000:400_000] = [f"item{i}" for i in range(40)]
+    text = " ".join(words)
+    assert len(text) > 2_500_000
+    held = Words(pa.array([text, "end"]))
+    assert held.bounds.tolist() == [0, len(words), len(words) + 1]
+    assert len(neardup.shingle_sets(pa.array([text]), 5)[0]) == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    bench = decontaminate.Benchmark([7], [" ".join(f"ITEM{i}" for i in range(40))], 0.2, 48, 3, 3)
+    lower = Words(pa.array([text]), lower=True)
+    assert bench.search(lower.hashes(), lower.bounds) == [[{"item_id": 7, "start": 400_000, "n_words": 40, "edits": 0}]]
+    encoder = tokens.Encoder(tokenizer_path())
+    ids, n = encoder.encode(pa.array([text]))
+    assert ids.tolist() == encoder.tok.encode(text, add_special_tokens=False).ids and n.tolist() == [len(ids)]
+    chars, ends = toxicity.characters(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    assert len(chars) == len(text) + 2 == ends[0]
+    rows, count = convnet.blocks_of(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    assert count.tolist() == [-(-len(text) // convnet.BLOCK)] and rows[:, : convnet.BLOCK].tobytes().rstrip(b"\0") == text.encode()

@@ -74,7 +74,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), percent: int = 150,
     A null text or one without words has size 0. A null source is a source. Rows that
     repeat an id, or have none, are documents of their own. Hash order needs no task that
     sees a whole source: word sums of 256 hash buckets, then of the 256 within one of them,
-    find the bucket that the end falls into, and only its documents are put in order.
+    find the bucket that the end falls into, and only its documents are put in order. A text
+    of any length is counted whole; columns named like those that are added are replaced.
     """
     scratch = Scratch(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ADDED]

@@ -229,6 +229,8 @@ def dedup_substrings(docs: DataFrame, length: int = 50, seed: int = 20) -> DataF
     A null text has no words. Texts shorter than the window lose nothing. Rows that repeat
     a doc_id are one document's: they don't remove words from each other. A row with a null
     doc_id neither loses words nor takes them from others. An empty table gives an empty result.
+    Windows count as equal if 64-bit hashes of their words are. A text is read whole, in one
+    row, however long: its words and hashes take about 40 times its size while it is read.
     """
     scratch = Scratch(docs.sparkSession)
     text = F.col("text").cast("string")

@@ -164,6 +164,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", by: int =
     Null and empty texts get the score of a text without known n-grams. Without labels of
     both kinds all scores are their share of toxic ones (0.5 without any). A null doc_id counts
     as remainder 0. Repeated rows are scored each by itself; an empty table gives an empty result.
+    A text is scored whole, in one row, however long: its code points take about 10 times its size.
     """
     learn = labels.filter(remainder(F.col("doc_id"), by) != held_out)
     model = NgramModel.fit(*labelled_sample(docs, learn, label, rows, chars))
