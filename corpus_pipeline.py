@@ -30,7 +30,11 @@ def columns(docs: DataFrame) -> list[Column]:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject; it is trained on the labelled ones among them."""
+    """Documents that the quality classifier doesn't reject; it is trained on the labelled ones among them.
+
+    Null and empty texts are scored as such, repeated rows each by itself. Without labels all
+    have the same score, 0.5, and stay. Columns of any name are kept; an empty table stays empty.
+    """
     model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score = unused("_score", docs)
     return with_scores(docs, model, score).filter(F.col(score) >= LEAST_QUALITY).select(*columns(docs))
@@ -39,7 +43,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, by five-word shingles and a similarity of 0.8 or more.
 
-    Documents without an id can't be compared and stay. Rows that repeat an id are one document: one of them stays.
+    Documents without an id can't be compared and stay, as do null and empty texts, which have
+    no shingles. Rows that repeat an id are one document, of which the row with the least hash
+    of its text stays. Columns of any name are kept; an empty table stays empty.
     """
     known = docs.filter("doc_id is not null")
     copies = near_duplicates(known, shingle=5, percent=80).filter("not kept").select("doc_id").distinct()
@@ -49,14 +55,23 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none; repeated rows are searched each by itself. Without items
+    all stay. Columns of any name are kept; an empty table stays empty.
+    """
     leaks = unused("_leaks", docs)
     found = with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), leaks)
     return found.filter(F.size(leaks) == 0).select(*columns(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them whole, sources weighing 5, 2, 1 in turn."""
+    """Documents as often as the mix takes them whole, sources weighing 5, 2, 1 in turn.
+
+    Null and empty texts have no words, and come as often as their source is repeated. A null
+    source is one, and repeated rows are documents of their own. Columns of any name are kept;
+    an empty table stays empty.
+    """
     copy = unused("_copy", docs)
     mixed = mix(docs.select(F.struct(*columns(docs)).alias("own"), "doc_id", "source", "text"))
     times = F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).otherwise(F.array().cast("array<int>"))
@@ -64,7 +79,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus as token shards, and from them where each document's ids are."""
+    """The corpus as token shards, and from them where each document's ids are.
+
+    Null and empty texts are their end id alone; repeated rows are documents of their own, in
+    order of a hash of the text, and documents without an id come last. Other columns than
+    doc_id and text are left out; an empty table gives an empty result.
+    """
     path = Scratch(spark).root
     write_shards(docs, path, tokenizer_path())
     return read_documents(spark, path)

@@ -61,7 +61,7 @@ def catalog_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "category": part.select(brand.alias("id"), F.col("p_brand").alias("name")).distinct(),
         "product": part.select(F.col("p_partkey").alias("id"), brand.alias("category_id"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.round(F.col("p_retailprice") * 100).cast("long").alias("price_cents")),
         "inventory": part.select(F.col("p_partkey").alias("product_id"), F.col("p_size").alias("stock_count"), F.concat(F.lit("W"), F.col("p_size") % 4).alias("warehouse_location")),
-        "review": item.filter("l_quantity > 25").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("product_id"), (F.col("l_linenumber") % 5 + 1).alias("rating")),
+        "review": item.select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("product_id"), (F.col("l_linenumber") % 5 + 1).alias("rating")),
     }
 
 
@@ -69,7 +69,7 @@ DETAIL_SQL = """
 SELECT p.p_partkey AS product_id, p.p_name AS name, p.p_type AS description, CAST(round(p.p_retailprice * 100) AS BIGINT) AS price_cents,
        p.p_brand AS category_name, p.p_size AS stock_count, 'W' || CAST(p.p_size % 4 AS VARCHAR) AS warehouse_location,
        coalesce(avg(r.l_linenumber % 5 + 1), 0) AS avg_rating, count(r.l_orderkey) AS review_count
-FROM part p LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 25) r ON r.l_partkey = p.p_partkey
+FROM part p LEFT JOIN lineitem r ON r.l_partkey = p.p_partkey
 GROUP BY ALL"""
 
 
