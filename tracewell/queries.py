@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.hashing import fmix32, shard_of, spread
-from tracewell.functions.policies import POLICIES
+from tracewell.functions.policies import OPTIMUM, POLICIES
 from tracewell.functions.text import key_path, query_parameter
 from tracewell.operators import catalog, frames, keyed, patterns, recovery, replay, ring, summaries
 from tracewell.operators.order import with_rank
 from tracewell.plans import matrix
-from tracewell.policy_sql import arc_parts_sql, policy_sql
+from tracewell.policy_sql import arc_parts_sql, replay_by_type_sql, replay_sql
 from tracewell.sources import traces, wal, workloads
 from tracewell.storage import work_dir
 from tracewell.streaming import live
@@ -130,7 +130,12 @@ def reuse_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_rank(replay.distances(trace(spark, sf_dir)), [F.col("pos")]).select("rank", "key", "distance")
 
 
-@query()
+HIT_RATE = "CASE WHEN hits + misses = 0 THEN 1.0 ELSE hits / (hits + misses) END::DOUBLE AS hit_rate"
+#: What kinds of requests there are.
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+@query(f"SELECT *, {HIT_RATE} FROM ({replay_sql([20, 50, 100])})")
 def policy_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.replay(trace(spark, sf_dir), [20, 50, 100])
 
@@ -143,11 +148,11 @@ def _one_policy(policy: str) -> Query:
     return run
 
 
-for _name, _sql in policy_sql(20).items():
-    query(f"SELECT * FROM ({_sql}) UNION ALL SELECT * FROM ({policy_sql(50)[_name]})")(_one_policy(_name))
+for _name in (*POLICIES, OPTIMUM):
+    query(replay_sql([20, 50], [_name]))(_one_policy(_name))
 
 
-@query()
+@query(f"SELECT *, {HIT_RATE} FROM ({replay_by_type_sql([20], list(POLICIES), EVENT_TYPES)})")
 def policy_replay_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("pos"), F.col("user_id").alias("key"))
     return replay.replay(rows, [20], list(POLICIES), by=["event_type"])
@@ -763,12 +768,15 @@ def live_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("timestampMillis").alias("tick"), F.col("opsPerSecond").alias("ops"), F.col("hitRatePercent").alias("hit_percent"), "size", "latencyMs.p50", "latencyMs.p99", top["key"].alias("top_key"), top["count"].alias("top_count"))
 
 
-@query()
+STANDING_SQL = f"SELECT policy, hits, misses, {HIT_RATE} FROM ({replay_sql([50], list(POLICIES))})"
+
+
+@query(f"SELECT policy, hits, misses, hit_rate * 100 AS hitRatePercent, rank() OVER (ORDER BY hit_rate * 100 DESC)::INTEGER AS place FROM ({STANDING_SQL})")
 def policy_standings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.standings(replay.replay(trace(spark, sf_dir), [50], list(POLICIES)))
 
 
-@query()
+@query(f"SELECT *, {HIT_RATE}, (SELECT count(*) FROM events) AS requests, (SELECT count(DISTINCT user_id) FROM events) AS distinct_keys FROM ({replay_sql([20, 100])})")
 def trace_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.trace_run(trace(spark, sf_dir), [20, 100])
 
