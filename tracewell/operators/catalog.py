@@ -31,6 +31,12 @@ def exists(product: DataFrame, product_id: int) -> bool:
     return not product.filter(F.col("id") == product_id).limit(1).isEmpty()
 
 
+def found(ids: DataFrame, product: DataFrame) -> DataFrame:
+    """(id, found) of each row of ids, in one join; a null id is not found."""
+    known = product.select(F.col("id").alias("_id")).distinct()
+    return ids.join(known, F.col("id") == F.col("_id"), "left").select("id", F.col("_id").isNotNull().alias("found"))
+
+
 def search_by_name(product: DataFrame, term: str, page: int = 0, size: int = 20) -> DataFrame:
     """Products whose name has ``term`` (``%`` and ``_`` are wildcards) in any case, by id, one page."""
     hits = product.filter(F.lower("name").like("%" + term.lower() + "%"))

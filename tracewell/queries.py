@@ -90,8 +90,8 @@ def product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT v AS id, EXISTS (SELECT 1 FROM part WHERE p_partkey = v) AS found FROM (SELECT unnest([1, 7, -5]) AS v)")
 def product_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    product = catalog_tables(spark, sf_dir)["product"]
-    return spark.createDataFrame([(i, catalog.exists(product, i)) for i in (1, 7, -5)], "id int, found boolean")
+    ids = spark.createDataFrame([(1,), (7,), (-5,)], "id int")
+    return catalog.found(ids, catalog_tables(spark, sf_dir)["product"])
 
 
 @query()
